@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinwork.llm import quality
 from skeinwork.llm.common import read
+from skeinwork.llm.langid import identify
+from skeinwork.llm.quality import score_quality
 from skeinwork.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), n_shards=16, carry_text=False)
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_sharding": op10_sharding}
+    return {
+        "op6_quality": op6_quality,
+        "op9_language": op9_language,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality": quality.ORACLE_SQL}
