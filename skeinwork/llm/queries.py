@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import quality
+from skeinwork.llm import minhash, quality
 from skeinwork.llm.common import read
 from skeinwork.llm.langid import identify
+from skeinwork.llm.minhash import near_duplicates
 from skeinwork.llm.quality import score_quality
 from skeinwork.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash": op1_minhash,
         "op6_quality": op6_quality,
         "op9_language": op9_language,
         "op10_sharding": op10_sharding,
@@ -36,4 +42,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.ORACLE_SQL}
+    return {"op1_minhash": minhash.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
