@@ -10,6 +10,7 @@ from skeinwork.llm import minhash, quality
 from skeinwork.llm.common import read
 from skeinwork.llm.langid import identify
 from skeinwork.llm.minhash import near_duplicates
+from skeinwork.llm.packing import pack
 from skeinwork.llm.quality import score_quality
 from skeinwork.llm.sharding import shard_documents
 
@@ -24,6 +25,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
         "op6_quality": op6_quality,
+        "op8_packing": op8_packing,
         "op9_language": op9_language,
         "op10_sharding": op10_sharding,
     }
