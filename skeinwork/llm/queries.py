@@ -13,6 +13,7 @@ from skeinwork.llm.minhash import near_duplicates
 from skeinwork.llm.packing import pack
 from skeinwork.llm.quality import score_quality
 from skeinwork.llm.sharding import shard_documents
+from skeinwork.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
         "op6_quality": op6_quality,
+        "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
         "op9_language": op9_language,
         "op10_sharding": op10_sharding,
