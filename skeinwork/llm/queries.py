@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import minhash, quality
 from skeinwork.llm.common import read
+from skeinwork.llm.html import extract
 from skeinwork.llm.langid import identify
 from skeinwork.llm.minhash import near_duplicates
 from skeinwork.llm.packing import pack
@@ -22,6 +23,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op4_html": op4_html,
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
