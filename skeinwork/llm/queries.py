@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import minhash, quality
+from skeinwork.llm import decontamination, minhash, quality
 from skeinwork.llm.common import read
+from skeinwork.llm.decontamination import contaminated
 from skeinwork.llm.html import extract
 from skeinwork.llm.langid import identify
 from skeinwork.llm.minhash import near_duplicates
@@ -15,6 +16,16 @@ from skeinwork.llm.packing import pack
 from skeinwork.llm.quality import score_quality
 from skeinwork.llm.sharding import shard_documents
 from skeinwork.llm.toxicity import score_toxicity
+from skeinwork.llm.urls import filter_urls
+
+#: The rules that op2 is asked to follow.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +34,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
@@ -50,6 +69,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_urls": op2_urls,
+        "op3_decontamination": op3_decontamination,
         "op4_html": op4_html,
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
@@ -60,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
+    return {"op1_minhash": minhash.ORACLE_SQL, "op3_decontamination": decontamination.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
