@@ -8,11 +8,12 @@ packed into a signature, and the similarity of two candidates is estimated from
 groups of bits, corrected for chance collisions. Whatever could reach the threshold is confirmed on the
 full sets.
 
-Buckets are never expanded into all their pairs. First every member is compared with its bucket's least
-and greatest member; confirmed links make components. Only buckets that still hold more than one
-component are joined with themselves, and there only pairs of different components whose estimate is
-high enough leave the join. Any pair that is skipped is joined already, so components are exact but for
-the chance that no band or an estimate by ``MARGIN`` misses a link: below 1e-5 for a pair at the threshold.
+Buckets are never expanded into all their pairs. First every member is compared with four members of its
+bucket; confirmed links make components. Only the members of buckets that still hold more than one
+component get a longer signature, and are joined within their buckets; of a pair in several buckets only
+one, and only pairs of different components whose longer estimate is high enough, leave the join. Any
+pair that is skipped is joined already, so components are exact but for the chance that no band or an
+estimate outside its margin misses a link: below 1e-5 for a pair at the threshold.
 
 Edges: null or blank texts link with nothing; repeated rows and copies are one class; rows with a null id
 have a null component and are kept; an empty table gives an empty result; other columns are ignored.
@@ -36,13 +37,20 @@ BANDS, ROWS = 36, 7
 HASHES = BANDS * ROWS
 KEPT_BITS = 4
 LONGS = 16
-#: How far below the threshold an estimate may lie: about 4.5 standard deviations.
-MARGIN = 0.10
+#: The longer signature: more minima, of fewer bits each.
+FINE_HASHES, FINE_BITS = 1024, 2
+FINE_LONGS = FINE_HASHES * FINE_BITS // 64
+#: How far below the threshold an estimate may lie: about 4.5 standard deviations of each signature.
+MARGIN, FINE_MARGIN = 0.10, 0.06
+#: A bucket's members are compared with its least and greatest ids, and the least after these flips of bits.
+FLIPS = (0x2AAAAAAAAAAAAAAA, 0x1999999999999999)
 CACHED_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_FINE_MUL = (_RNG.integers(0, 1 << 31, FINE_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_FINE_ADD = _RNG.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint32)
 _MIX = (_RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -79,13 +87,13 @@ class Shingler:
         return np.unique(h), words
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     x = shingles.astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(len(mul), 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
         for start in range(0, len(x), 1024):
-            values = np.multiply.outer(_MUL, x[start : start + 1024])
-            values += _ADD[:, None]
+            values = np.multiply.outer(mul, x[start : start + 1024])
+            values += add[:, None]
             np.minimum(least, values.min(axis=1), out=least)
     return least
 
@@ -100,11 +108,16 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def packed(least: np.ndarray) -> np.ndarray:
-    bits = np.zeros(LONGS * 64 // KEPT_BITS, dtype=np.uint8)
+def packed(least: np.ndarray, bits: int = KEPT_BITS, longs: int = LONGS) -> np.ndarray:
+    """The low bits of every minimum (mixed, so that they are fair), side by side in 64-bit numbers."""
+    each = 8 // bits
+    low = np.zeros(longs * 64 // bits, dtype=np.uint8)
     with np.errstate(over="ignore"):
-        bits[:HASHES] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - KEPT_BITS)
-    return ((bits[0::2] << 4) | bits[1::2]).view(np.int64)
+        low[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    out = np.zeros(longs * 8, dtype=np.uint8)
+    for k in range(each):
+        out |= low[k::each] << (bits * k)
+    return out.view(np.int64)
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,20 +138,28 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def equal_groups(a: Column, b: Column) -> Column:
-    """How many of the minima agree in their kept bits."""
-    differing = F.lit(0)
-    for k in range(LONGS):
-        x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differing = differing + F.bit_count(x)
-    return F.lit(HASHES) - differing
+def _fine_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shingler = Shingler()
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["id"], batch["text"], strict=True):
+            found = shingler.shingles(text)[0]
+            rows.append((key, len(found), packed(minima(found, _FINE_MUL, _FINE_ADD), FINE_BITS, FINE_LONGS)))
+        yield pd.DataFrame(rows, columns=["id", "n", "fine"])
 
 
-def estimate(a: Column, b: Column) -> Column:
-    chance = 2.0**-KEPT_BITS
-    return (equal_groups(a, b) / F.lit(float(HASHES)) - chance) / (1.0 - chance)
+def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = KEPT_BITS, longs: int = LONGS) -> Column:
+    """The share of minima that agree in their kept bits, corrected for those that agree by chance."""
+    ones = sum(1 << k for k in range(0, 64, bits)) & ((1 << 63) - 1)  # the top group's last bit is the sign for one bit only
+    differing = F.lit(0)
+    for k in range(longs):
+        x, step = a[k].bitwiseXOR(b[k]), bits // 2
+        while step:
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+            step //= 2
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(ones)))
+    chance = 2.0**-bits
+    return ((F.lit(hashes) - differing) / F.lit(float(hashes)) - chance) / (1.0 - chance)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +201,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     single = signed.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = written(single.select(F.col("doc_id").alias("id"), "bands", "sig"), "representatives")
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    flipped = [F.min(F.col("id").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias(f"other{k}") for k, flip in enumerate(FLIPS)]
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *flipped).filter("low <> high")
     members = written(keyed.join(buckets, "key"), "buckets")
     sigs = reps.select("id", "sig")
     # Only texts of representatives in shared buckets are compared.
@@ -192,20 +214,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         both = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         return both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
-    star = members.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("high").alias("b"))).filter("a <> b").distinct()
+    against = F.explode(F.array("low", "high", *(f"other{k}" for k in range(len(FLIPS)))))
+    star = members.select("id", against.alias("other")).filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     links = written(confirmed(promising(star), texts, percent), "links")
     near = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(near.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-    rest = written(placed.join(mixed, "key").join(sigs, "id"), "unsettled")
+    unsettled = written(placed.join(mixed, "key"), "unsettled")
+    # A representative is in at most BANDS buckets.
+    own_keys = unsettled.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    fine = texts.join(own_keys.select("id"), "id", "left_semi").mapInPandas(_fine_signatures, "id long, n long, fine array<long>")
+    rest = written(unsettled.join(own_keys, "id").join(fine, "id"), "unsettled")
     a, b = rest.alias("a"), rest.alias("b")
     rest_pairs = (
         a.join(
             b,
-            (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (estimate(F.col("a.sig"), F.col("b.sig")) >= least),
+            (F.col("a.key") == F.col("b.key"))
+            & (F.col("a.id") < F.col("b.id"))
+            & (F.col("a.component") != F.col("b.component"))
+            & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+            & (estimate(F.col("a.fine"), F.col("b.fine"), FINE_HASHES, FINE_BITS, FINE_LONGS) >= percent / 100.0 - FINE_MARGIN)
+            & (F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")),
         )
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
     more = written(confirmed(rest_pairs, texts, percent), "links")
