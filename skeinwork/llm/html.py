@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import written
+
 # Tag names of HTML, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
@@ -61,6 +63,8 @@ _DIGITS = re.compile(r"\d+")
 RUNNING = 25
 #: Candidates that a page votes for.
 VOTES = 3
+#: Characters of hosts and paths that are broadcast, at most.
+MOST_BROADCAST = 16_000_000
 
 
 class Page:
@@ -279,8 +283,10 @@ def extract(pages: DataFrame) -> DataFrame:
             out.append(page.text(roots, fine))
         return pd.Series(out, dtype="string")
 
-    winners = consensus(pages)
+    winners = written(consensus(pages), "winners")
+    size = winners.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0
+    winners = F.broadcast(winners) if size <= MOST_BROADCAST else winners
     named = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
-    # Few hosts are broadcast by their measured size; many are joined by a shuffle in which large hosts can be split.
+    # Beyond the size that is broadcast, a shuffle joins them, in which the pages of a large host can be split.
     text = F.coalesce(main_text(F.coalesce("html", F.lit("")), F.col("path")), F.lit(""))
     return named.join(winners, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
