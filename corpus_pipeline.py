@@ -1,19 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from skeinwork.llm.common import read, written
+from skeinwork.llm.decontamination import keep_uncontaminated
+from skeinwork.llm.langid import keep_identified
+from skeinwork.llm.minhash import keep_one_of_each
+from skeinwork.llm.packing import pack
+from skeinwork.llm.quality import keep_good
+
+#: Near duplicates here share four fifths of their five-word shingles.
+NEAR_PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the cascade of quality rules keeps; a null text goes."""
+    return keep_good(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts whose language is told with confidence, by a model learnt from the labelled ones."""
+    return keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one with the least id, of each group of near duplicates."""
+    return keep_one_of_each(docs, NEAR_PERCENT)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item."""
+    return keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; one row for each piece."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Language models and packing are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skeinwork.llm.common import read, written
-
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from skeinwork.llm.common import read
 from skeinwork.llm.decontamination import contaminated
 from skeinwork.llm.html import extract
 from skeinwork.llm.langid import identify
+from skeinwork.llm.lm import score_documents
 from skeinwork.llm.minhash import near_duplicates
 from skeinwork.llm.packing import pack
 from skeinwork.llm.quality import score_quality
@@ -46,6 +47,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by likeness to the documents that are labelled as good."""
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return score_documents(read(spark, sf_dir, "documents"), good)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"))
 
@@ -72,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op2_urls": op2_urls,
         "op3_decontamination": op3_decontamination,
         "op4_html": op4_html,
+        "op5_lm": op5_lm,
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
