@@ -25,7 +25,7 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, score double"
 #: Code points that one pass of the scorer holds at a time; longer texts are summed in pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def folded(text: str) -> np.ndarray:
@@ -72,11 +72,26 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+
+        def add(name: str) -> None:
+            if held.get(name):
+                sums.setdefault(name, np.zeros(1 << BITS, dtype=np.int64))
+                sums[name] += counts_of(np.concatenate(held[name]))
+            held[name], sizes[name] = [], 0
+
         for batch in batches:
-            for name, group in batch.groupby("lang"):
-                own = sums.setdefault(name, np.zeros(1 << BITS, dtype=np.int64))
-                # A separator outside Unicode keeps n-grams from crossing texts; its buckets are noise alike for all.
-                own += counts_of(np.concatenate([np.append(folded(t), np.uint32(32)) for t in group["text"]]))
+            for name, text in zip(batch["lang"], batch["text"], strict=True):
+                points = folded(text)
+                # Texts are counted together, with a space between them; long ones in pieces.
+                for start in range(0, len(points), PIECE):
+                    held.setdefault(name, []).append(np.append(points[start : start + PIECE], np.uint32(32)))
+                    sizes[name] = sizes.get(name, 0) + len(held[name][-1])
+                    if sizes[name] >= PIECE:
+                        add(name)
+        for name in list(held):
+            add(name)
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": own[at]})
