@@ -122,11 +122,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     cut = cut.select("doc_id", "key", "start", "n_words", shingles(F.col("w")).alias("h"), letters(F.col("w")).alias("c"))
     cut = written(cut.select("doc_id", "key", "start", "n_words", gram.alias("grams")), "windows")
     mine = fingerprinted(cut, ["key", "start", "n_words"])
-    theirs = fingerprinted(items, ["item_id", "n_words"]).select("item_id", "n_words", F.col("grams").alias("item_grams"), F.col("print").alias("item_print"))
-    looked = mine.select("*", F.explode(block_values(F.col("print"))).alias("b")).select("*", "b.*").drop("b")
-    entered = theirs.select("*", F.explode(near_block_values(F.col("item_print"))).alias("b")).select("*", "b.*").drop("b")
-    pairs = looked.join(entered, ["n_words", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = pairs.dropDuplicates(["key", "start", "n_words", "item_id"])
+    theirs = written(fingerprinted(items, ["item_id", "n_words"]), "items")
+    # The lookup carries fingerprints only; the shingles come back for the few pairs within the radius.
+    looked = mine.select("key", "start", "n_words", "print", F.explode(block_values(F.col("print"))).alias("b")).select("key", "start", "n_words", "print", "b.*")
+    entered = theirs.select("item_id", "n_words", F.col("print").alias("item_print"), F.explode(near_block_values(F.col("print"))).alias("b")).select("item_id", "n_words", "item_print", "b.*")
+    near = looked.join(entered, ["n_words", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = near.select("key", "start", "n_words", "item_id").distinct()
+    pairs = near.join(cut, ["key", "start", "n_words"]).join(theirs.select("item_id", "n_words", F.col("grams").alias("item_grams")), ["item_id", "n_words"])
     a, b = F.array_distinct("grams"), F.array_distinct("item_grams")
     common = _weight(F.array_intersect(a, b))
     exact = pairs.select("doc_id", "item_id", "start", "n_words", common.alias("common"), (_weight(a) + _weight(b)).alias("both"))
