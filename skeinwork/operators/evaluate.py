@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators.plan import RUN, cut_ranges, verdicts
 from skeinwork.operators.positions import bounded, members
+from skeinwork.sources.scratch import written
 
 WINDOW = ("dialog_id", "window_from", "window_to")
 
@@ -22,9 +23,9 @@ def cut_messages(judged: DataFrame, placed: DataFrame) -> DataFrame:
 
 def run_quality(runs: DataFrame, placed: DataFrame, windows: DataFrame) -> DataFrame:
     """One row for each model and policy. ``windows`` are rebuilt ones; a run whose window is not among them counts no size and no anchors, and is told apart in ``unmatched``."""
-    judged = verdicts(runs)
+    judged = written(verdicts(runs), "judged")
     fine = judged.filter("fine").select(*RUN, F.size("verdict.delete_ranges").alias("ranges"), F.size("verdict.protected").alias("claims"))
-    cut = cut_messages(judged, placed)
+    cut = written(cut_messages(judged, placed), "cut")
     ends = bounded(fine.select(*WINDOW).distinct(), placed, "window_from", "window_to")
     marks = cut.join(ends, list(WINDOW)).groupBy(*RUN).agg(
         F.count("*").alias("cut"),
@@ -63,9 +64,9 @@ def spend(runs: DataFrame) -> DataFrame:
 
 def pairs(runs: DataFrame, placed: DataFrame) -> DataFrame:
     """For each window and two of its runs: the overlap of what they cut; two empty cuts agree."""
-    judged = verdicts(runs)
+    judged = written(verdicts(runs), "judged")
     sets = cut_messages(judged, placed).groupBy(*RUN).agg(F.collect_set("msg_id").alias("ids"))
-    all_runs = judged.filter("fine").select(*RUN).join(sets, list(RUN), "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).withColumn("run", run_key())
+    all_runs = written(judged.filter("fine").select(*RUN).join(sets, list(RUN), "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).withColumn("run", run_key()), "cuts")
     a, b = all_runs.select(*WINDOW, F.col("run").alias("run_a"), F.col("ids").alias("a")), all_runs.select(*WINDOW, F.col("run").alias("run_b"), F.col("ids").alias("b"))
     both, either = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
     return a.join(b, list(WINDOW)).filter("run_a < run_b").select(*WINDOW, "run_a", "run_b", F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"))

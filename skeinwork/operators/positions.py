@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinwork.sources.scratch import written
+
 #: Ids in a block.
 BLOCK = 1 << 16
 
@@ -31,13 +33,14 @@ def bounded(ranges: DataFrame, placed: DataFrame, lo: str = "lo", hi: str = "hi"
 
     An end that is a message's own id is looked up; only other ends are placed by counting what lies before.
     """
+    ranges = written(ranges, "ranges")  # few rows, used four times
     ids = placed.select("dialog_id", F.col("msg_id").alias("__id"), F.col("pos").alias("__pos"))
-    keyed = ranges.withColumn("__range", F.xxhash64(*ranges.columns))
-    ends = keyed.select("dialog_id", F.col(lo).cast("long").alias("v"), F.lit(0).alias("kind")).unionByName(keyed.select("dialog_id", F.col(hi).cast("long").alias("v"), F.lit(2).alias("kind"))).distinct()
+    ends = ranges.select("dialog_id", F.col(lo).cast("long").alias("v"), F.lit(0).alias("kind")).unionByName(ranges.select("dialog_id", F.col(hi).cast("long").alias("v"), F.lit(2).alias("kind"))).distinct()
     own = ends.join(ids.select("dialog_id", F.col("__id").cast("long").alias("v"), "__pos"), ["dialog_id", "v"], "left")
     direct = own.filter("__pos IS NOT NULL").select("dialog_id", "v", "kind", F.col("__pos").alias("at"))
     astray = own.filter("__pos IS NULL").select("dialog_id", "v", "kind", F.lit(None).cast("long").alias("pos"))
     # What is astray is placed by a running maximum over its dialog's messages.
+    astray = written(astray, "astray")
     some = ids.join(astray.select("dialog_id").distinct(), "dialog_id", "left_semi").select("dialog_id", F.col("__id").cast("long").alias("v"), F.lit(1).alias("kind"), F.col("__pos").alias("pos"))
     order = Window.partitionBy("dialog_id").orderBy("v", "kind")
     last = F.coalesce(F.max("pos").over(order), F.lit(-1))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from skeinwork.functions import scalars as S
 from skeinwork.operators.positions import bounded, with_positions
 from skeinwork.params import Params
+from skeinwork.sources.scratch import written
 
 KEY = ("dialog_id", "from_id", "to_id")
 #: What a window costs beside its characters: the line overhead of 60 messages and the policy.
@@ -70,7 +71,8 @@ def build(messages: DataFrame, hits: DataFrame, dialogs: DataFrame, p: Params) -
     wanted = dialogs.filter(~F.col("kind").isin(*p.ignore_kinds)) if p.ignore_kinds else dialogs
     if p.ignore_dialogs:
         wanted = wanted.filter(~F.col("id").isin(*p.ignore_dialogs))
-    placed = with_positions(messages.join(wanted.select(F.col("id").alias("dialog_id")), "dialog_id", "left_semi"))
+    # Positions serve the anchors, the dialogs' ends and the windows' measures.
+    placed = written(with_positions(messages.select("dialog_id", "msg_id", "date", "protected", "media_type", "text").join(wanted.select(F.col("id").alias("dialog_id")), "dialog_id", "left_semi")), "placed")
     lean = placed.select("dialog_id", "msg_id", "date", "protected", "pos")
     anchors = message_hits(lean, hits, p).filter(is_anchor(p))
     last = placed.groupBy("dialog_id").agg(F.max("pos").alias("last"))
@@ -83,7 +85,7 @@ def build(messages: DataFrame, hits: DataFrame, dialogs: DataFrame, p: Params) -
         F.greatest(F.max("date"), F.lit(0).cast("long")).alias("newest"),
         F.coalesce(F.min("tier"), F.lit("T2")).alias("tier"),
     )
-    spans = clusters.join(last, "dialog_id").withColumns({"first_pos": F.greatest(F.col("a") - p.pad, F.lit(0).cast("long")), "last_pos": F.least(F.col("b") + p.pad, F.col("last"))})
+    spans = written(clusters, "clusters").join(last, "dialog_id").withColumns({"first_pos": F.greatest(F.col("a") - p.pad, F.lit(0).cast("long")), "last_pos": F.least(F.col("b") + p.pad, F.col("last"))})
     keys = ["dialog_id", "cluster"]
     inside = spans.select(*keys, F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(_measures(placed), ["dialog_id", "pos"])
     return inside.groupBy(*keys).agg(*_measured()).join(spans, keys).select(*KEY, "anchors", "axes", "tier", "voices", "total", "chars", "newest", "rules")
@@ -108,7 +110,7 @@ def expand(windows: DataFrame, messages: DataFrame, p: Params) -> DataFrame:
 
     The original ends stay in window_from and window_to.
     """
-    placed = with_positions(messages)
+    placed = written(with_positions(messages.select("dialog_id", "msg_id", "media_type", "text")), "placed")
     last = placed.groupBy("dialog_id").agg(F.max("pos").alias("__last"))
     room = F.greatest(F.lit(p.max_window) - F.col("total"), F.lit(0)).cast("long")
     before, after = (F.greatest(F.col(c).cast("long"), F.lit(0).cast("long")) for c in ("before", "after"))

@@ -90,14 +90,14 @@ TABLES = {
     "old": "SELECT dialog_id, count(*) AS messages, min(date) AS oldest, any_value(kind) AS kind, any_value(title) AS title, any_value(peer_ok) AS peer_ok FROM dele GROUP BY dialog_id",
     "marka": "SELECT * FROM (SELECT dialog_id, msg_id, reason, row_number() OVER (PARTITION BY dialog_id, msg_id ORDER BY window_from DESC, window_to DESC, nth DESC) AS r FROM inr WHERE model = 'alpha') WHERE r = 1",
     "markb": "SELECT * FROM (SELECT dialog_id, msg_id, reason, row_number() OVER (PARTITION BY dialog_id, msg_id ORDER BY window_from DESC, window_to DESC, nth DESC) AS r FROM inr WHERE model = 'beta') WHERE r = 1",
-    "both": "SELECT coalesce(a.dialog_id, b.dialog_id) AS dialog_id, coalesce(a.msg_id, b.msg_id) AS msg_id, a.reason AS ra, b.reason AS rb FROM marka a FULL JOIN markb b ON a.dialog_id = b.dialog_id AND a.msg_id = b.msg_id",
+    "mark2": "SELECT coalesce(a.dialog_id, b.dialog_id) AS dialog_id, coalesce(a.msg_id, b.msg_id) AS msg_id, a.reason AS ra, b.reason AS rb FROM marka a FULL JOIN markb b ON a.dialog_id = b.dialog_id AND a.msg_id = b.msg_id",
+    "cnts": """
+      SELECT dialog_id, window_from, window_to, count(*) AS u, count(*) FILTER (k = 2) AS c FROM (
+        SELECT dialog_id, window_from, window_to, msg_id, count(*) AS k FROM cutm GROUP BY ALL) GROUP BY ALL""",
     "prs": """
-      SELECT a.dialog_id, a.window_from, a.window_to, a.model || ' @ ' || a.prompt_id AS run_a, b.model || ' @ ' || b.prompt_id AS run_b,
-        (SELECT count(*) FROM cutm x JOIN cutm y ON x.dialog_id = y.dialog_id AND x.window_from = y.window_from AND x.window_to = y.window_to AND x.msg_id = y.msg_id
-           WHERE x.model = 'alpha' AND y.model = 'beta' AND x.dialog_id = a.dialog_id AND x.window_from = a.window_from AND x.window_to = a.window_to) AS c,
-        (SELECT count(DISTINCT msg_id) FROM cutm x WHERE x.dialog_id = a.dialog_id AND x.window_from = a.window_from AND x.window_to = a.window_to) AS u,
-        CASE WHEN u = 0 THEN 1.0::DOUBLE ELSE c / u END AS jaccard
-      FROM runs a JOIN runs b ON a.dialog_id = b.dialog_id AND a.window_from = b.window_from AND a.window_to = b.window_to AND a.model = 'alpha' AND b.model = 'beta' WHERE a.fine AND b.fine""",
+      SELECT a.dialog_id, a.window_from, a.window_to, a.model || ' @ ' || a.prompt_id AS run_a, b.model || ' @ ' || b.prompt_id AS run_b, CASE WHEN coalesce(u, 0) = 0 THEN 1.0::DOUBLE ELSE c / u END AS jaccard
+      FROM runs a JOIN runs b ON a.dialog_id = b.dialog_id AND a.window_from = b.window_from AND a.window_to = b.window_to AND a.model = 'alpha' AND b.model = 'beta'
+      LEFT JOIN cnts ON cnts.dialog_id = a.dialog_id AND cnts.window_from = a.window_from AND cnts.window_to = a.window_to WHERE a.fine AND b.fine""",
     "exps": "SELECT c.conv_id + 100 AS dialog_id, CAST(turn AS INTEGER) AS msg_id, role, turn, conv_id, coalesce(text, '') AS text FROM conversations c",
     "docm": f"""
       SELECT doc_id, coalesce(text, '') AS text, (doc_id * 40000) // 86400 AS days, CASE WHEN days <= 180 THEN 'T0' WHEN days <= 365 THEN 'T1' ELSE 'T2' END AS tier,
@@ -174,7 +174,7 @@ STATEMENTS = {
     "windows_cutoff": _listed("wins WHERE newest >= epoch(TIMESTAMP '2024-01-20') OR list_contains(rules, 'purchases')"),
     "windows_expand": """
       SELECT w.dialog_id, w.window_from, w.window_to, min(m.msg_id) AS from_id, max(m.msg_id) AS to_id, count(*) AS total, CAST(sum(length(m.text)) AS BIGINT) AS chars FROM (
-        SELECT x.dialog_id, from_id AS window_from, to_id AS window_to, a.pos - (from_id % 4) * greatest(12 - total, 0) // greatest(from_id % 4 + to_id % 3, 1) AS lo, b.pos + (to_id % 3) * greatest(12 - total, 0) // greatest(from_id % 4 + to_id % 3, 1) AS hi
+        SELECT x.dialog_id, x.from_id AS window_from, x.to_id AS window_to, a.pos - (x.from_id % 4) * greatest(12 - total, 0) // greatest(x.from_id % 4 + x.to_id % 3, 1) AS lo, b.pos + (x.to_id % 3) * greatest(12 - total, 0) // greatest(x.from_id % 4 + x.to_id % 3, 1) AS hi
         FROM wins x JOIN msgs a ON a.dialog_id = x.dialog_id AND a.msg_id = x.from_id JOIN msgs b ON b.dialog_id = x.dialog_id AND b.msg_id = x.to_id) w
       JOIN msgs m ON m.dialog_id = w.dialog_id AND m.pos BETWEEN w.lo AND w.hi GROUP BY w.dialog_id, w.window_from, w.window_to""",
     "windows_not_judged": "SELECT dialog_id, from_id, to_id FROM wins WHERE dialog_id % 2 <> 0",
@@ -215,10 +215,10 @@ STATEMENTS = {
     "eval_split_windows": "SELECT DISTINCT dialog_id, window_from, window_to FROM prs WHERE jaccard < 0.5 ORDER BY ALL LIMIT 15",
     "diff_summary": """
       SELECT *, round(agreed / (agreed + only_base + only_against), 6) AS undisputed FROM (
-        SELECT (SELECT count(*) FROM wins) AS windows, CAST(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS BIGINT) AS agreed, CAST(count(*) FILTER (rb IS NULL) AS BIGINT) AS only_base, CAST(count(*) FILTER (ra IS NULL) AS BIGINT) AS only_against FROM both)""",
+        SELECT (SELECT count(*) FROM wins) AS windows, CAST(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS BIGINT) AS agreed, CAST(count(*) FILTER (rb IS NULL) AS BIGINT) AS only_base, CAST(count(*) FILTER (ra IS NULL) AS BIGINT) AS only_against FROM mark2)""",
     "diff_tails": """
       SELECT o.reason, n, nth, o.dialog_id, o.msg_id, strftime(make_timestamp(date * 1000000), '%Y-%m-%d') AS day, title, left(replace(text, chr(10), ' '), 100) AS head FROM (
-        SELECT dialog_id, msg_id, rb AS reason, count(*) OVER (PARTITION BY rb) AS n, row_number() OVER (PARTITION BY rb ORDER BY dialog_id, msg_id) AS nth FROM both WHERE ra IS NULL) o
+        SELECT dialog_id, msg_id, rb AS reason, count(*) OVER (PARTITION BY rb) AS n, row_number() OVER (PARTITION BY rb ORDER BY dialog_id, msg_id) AS nth FROM mark2 WHERE ra IS NULL) o
       JOIN msgs m ON m.dialog_id = o.dialog_id AND m.msg_id = o.msg_id JOIN dlgs d ON d.id = o.dialog_id WHERE nth <= 3""",
     "audit_terms": """
       SELECT axis, rule_id, term, count(*) AS n, count(DISTINCT dialog_id) AS dialogs, max(here) AS most, round(max(here) / count(*), 6) AS share FROM (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from skeinwork.params import Params
 from skeinwork.plans import corpus as C
 from skeinwork.plans.policy import ENGLISH
 from skeinwork.sources import export, store
+from skeinwork.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = C.EVENTS
@@ -27,28 +29,40 @@ def joined(column: str) -> Column:
 
 
 class Archive:
-    """The tables of the stand-in archive, each a plan that is not run before it is used."""
+    """The tables of the stand-in archive. Each is written once, when it is first used, as a store would hold it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.messages, self.dialogs = C.messages(spark, sf_dir), C.dialogs(spark, sf_dir)
-        self.placed = with_positions(self.messages)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return written(with_positions(self.messages), "placed")
+
+    @cached_property
+    def keyword_hits(self) -> DataFrame:
         # The flag of the stand-in stays; the pack has no keep-list.
-        first = scan.keyword_pass(self.messages, C.dictionary(), P).hits
-        self.keyword_hits = first
-        self.hits = first.unionByName(scan.structural_pass(self.messages, first, P))
+        return scan.keyword_pass(self.messages, C.dictionary(), P).hits
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        first = written(self.keyword_hits, "hits")
+        return written(first.unionByName(scan.structural_pass(self.placed, first, P)), "hits")
 
+    @cached_property
     def windows(self) -> DataFrame:
-        return windows.build(self.messages, self.hits, self.dialogs, P)
+        return written(windows.build(self.placed.drop("pos"), self.hits, self.dialogs, P), "windows")
 
+    @cached_property
     def runs(self) -> DataFrame:
-        return C.runs(self.windows())
+        return written(C.runs(self.windows), "runs")
 
+    @cached_property
     def plan(self) -> DataFrame:
-        return plan.build_plan(self.runs(), self.placed, C.MODELS[0], C.PROMPT)
+        return written(plan.build_plan(self.runs, self.placed, C.MODELS[0], C.PROMPT), "plan")
 
     def approved(self) -> DataFrame:
-        return plan.approve(self.plan(), axis="ops")
+        return plan.approve(self.plan, axis="ops")
 
 
 def listed(df: DataFrame) -> DataFrame:
@@ -156,7 +170,7 @@ def verdict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Archive(spark, sf_dir)
-    wide = a.windows().withColumns({"before": F.col("from_id") % 4, "after": F.col("to_id") % 3})
+    wide = a.windows.withColumns({"before": F.col("from_id") % 4, "after": F.col("to_id") % 3})
     return windows.expand(wide, a.messages, P).select("dialog_id", "window_from", "window_to", "from_id", "to_id", "total", "chars")
 
 
@@ -185,7 +199,7 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compared(spark: SparkSession, sf_dir: str) -> tuple[Archive, DataFrame, DataFrame]:
     a = Archive(spark, sf_dir)
-    return a, *diff.compared(a.runs(), a.placed, *C.MODELS)
+    return a, *diff.compared(a.runs, a.placed, *C.MODELS)
 
 
 def diff_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +210,7 @@ def diff_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Archive(spark, sf_dir)
     spoken = a.messages.filter("media_type IS NOT NULL AND msg_id % 20 = 0").select("dialog_id", "msg_id", F.lit("said").alias("text"), F.lit("m").alias("model"))
-    return render(a.windows(), a.placed, a.hits, a.dialogs, spoken, ENGLISH)
+    return render(a.windows, a.placed, a.hits, a.dialogs, spoken, ENGLISH)
 
 
 def on_archive(f: Callable[[Archive], DataFrame]) -> Query:
@@ -224,30 +238,30 @@ def queries() -> dict[str, Query]:
         "scan_top_rules": on_archive(lambda a: scan.top_rules(a.hits)),
         "scan_density": on_archive(lambda a: scan.density(a.hits, a.dialogs)),
         "message_hits": on_archive(lambda a: windows.message_hits(a.messages, a.hits, P).select("dialog_id", "msg_id", "priority", joined("axes"), joined("rules"), "tier")),
-        "windows": on_archive(lambda a: listed(a.windows())),
-        "windows_report": on_archive(lambda a: windows.report(a.windows())),
-        "windows_by_tier": on_archive(lambda a: windows.by_tier(a.windows())),
-        "windows_by_axis": on_archive(lambda a: windows.by_axis(a.windows())),
-        "windows_limit": on_archive(lambda a: listed(windows.select(a.windows(), limit=25))),
-        "windows_sample": on_archive(lambda a: listed(windows.select(a.windows(), limit=3, sample=25))),
-        "windows_cutoff": on_archive(lambda a: listed(windows.select(a.windows(), cutoff=cutoff))),
+        "windows": on_archive(lambda a: listed(a.windows)),
+        "windows_report": on_archive(lambda a: windows.report(a.windows)),
+        "windows_by_tier": on_archive(lambda a: windows.by_tier(a.windows)),
+        "windows_by_axis": on_archive(lambda a: windows.by_axis(a.windows)),
+        "windows_limit": on_archive(lambda a: listed(windows.select(a.windows, limit=25))),
+        "windows_sample": on_archive(lambda a: listed(windows.select(a.windows, limit=3, sample=25))),
+        "windows_cutoff": on_archive(lambda a: listed(windows.select(a.windows, cutoff=cutoff))),
         "windows_expand": expanded,
-        "windows_not_judged": on_archive(lambda a: plan.not_judged(a.windows(), a.runs().filter("dialog_id % 2 = 0"), C.MODELS[0], C.PROMPT).select("dialog_id", "from_id", "to_id")),
+        "windows_not_judged": on_archive(lambda a: plan.not_judged(a.windows, a.runs.filter("dialog_id % 2 = 0"), C.MODELS[0], C.PROMPT).select("dialog_id", "from_id", "to_id")),
         "window_text": rendered,
         "verdict_check": verdict_check,
-        "plan": on_archive(lambda a: a.plan()),
-        "plan_beta": on_archive(lambda a: plan.build_plan(a.runs(), a.placed, C.MODELS[1])),
-        "plan_approved": on_archive(lambda a: plan.approve(plan.approve(a.plan(), axis="ops"), on=False, dialog=3).groupBy("dialog_id", "approved").agg(F.count("*").alias("n"))),
+        "plan": on_archive(lambda a: a.plan),
+        "plan_beta": on_archive(lambda a: plan.build_plan(a.runs, a.placed, C.MODELS[1])),
+        "plan_approved": on_archive(lambda a: plan.approve(plan.approve(a.plan, axis="ops"), on=False, dialog=3).groupBy("dialog_id", "approved").agg(F.count("*").alias("n"))),
         "plan_budget": on_archive(lambda a: plan.budget(a.approved(), a.messages, a.dialogs, P)),
-        "plan_worst_dialogs": on_archive(lambda a: plan.worst_dialogs(a.plan(), a.dialogs)),
-        "eval_runs": on_archive(lambda a: evaluate.run_quality(a.runs(), a.placed, a.windows())),
-        "eval_spend": on_archive(lambda a: evaluate.spend(a.runs())),
-        "eval_agreement": on_archive(lambda a: evaluate.agreement(evaluate.pairs(a.runs(), a.placed))),
-        "eval_split_windows": on_archive(lambda a: evaluate.split_windows(evaluate.pairs(a.runs(), a.placed))),
+        "plan_worst_dialogs": on_archive(lambda a: plan.worst_dialogs(a.plan, a.dialogs)),
+        "eval_runs": on_archive(lambda a: evaluate.run_quality(a.runs, a.placed, a.windows)),
+        "eval_spend": on_archive(lambda a: evaluate.spend(a.runs)),
+        "eval_agreement": on_archive(lambda a: evaluate.agreement(evaluate.pairs(a.runs, a.placed))),
+        "eval_split_windows": on_archive(lambda a: evaluate.split_windows(evaluate.pairs(a.runs, a.placed))),
         "diff_summary": lambda s, d: diff.summary(*compared(s, d)[1:]),
         "diff_tails": diff_tails,
         "audit_terms": on_archive(lambda a: audit.terms(a.hits, least=5, containing="s")),
-        "audit_rules": on_archive(lambda a: audit.rules(a.hits, a.runs(), a.placed, C.MODELS[0])),
+        "audit_rules": on_archive(lambda a: audit.rules(a.hits, a.runs, a.placed, C.MODELS[0])),
         "audit_samples": on_archive(lambda a: audit.samples(a.hits, a.messages)),
         "deletable": on_archive(lambda a: chunks.deletable(a.approved(), a.dialogs, a.placed, C.log_of(a.approved())).select("dialog_id", "msg_id", "kind", "title", "peer_ok", "date")),
         "log_states": on_archive(lambda a: chunks.states(C.log_of(a.approved()))),
