@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, verified by exact weighted shingles.
 
 Words are runs of letters and digits of the lower-cased text; shingles are five words. A document's window
-of an item's size is fingerprinted if it has one of the benchmark's shingles at the place where the item
-has it; any other window shares nothing with the item. Fingerprints have 64 bits; the benchmark's are
+of an item's size is fingerprinted if it has one of the benchmark's shingles within ``MOVES`` words of the
+place where the item has it; what lies further off shares less with the item than one of these. Fingerprints have 64 bits; the benchmark's are
 entered under every value within two bits of each of their seven blocks, so a lookup of a window's blocks
 finds all fingerprints within ``RADIUS`` bits. Candidates of the same size within the radius are then
 compared exactly: the letters in common shingles over the letters in all, at least ``THRESHOLD``.
@@ -28,6 +28,8 @@ RADIUS = 20
 #: Sizes of the blocks that a fingerprint is cut into; seven with at most two wrong bits each cover 20.
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 NEAR = RADIUS // len(BLOCKS)
+#: Words that a window may be moved from where a common shingle puts it.
+MOVES = 2
 MOST_BROADCAST = 4_000_000
 LANES = 0x0001000100010001
 
@@ -107,13 +109,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     read = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     split = read.select(key, words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH)
     seen = split.select("key", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"))).alias("pos", "hash"))
-    start = F.col("pos") - F.col("offset")
-    windows = (
-        seen.join(F.broadcast(places) if small else places, "hash")
-        .filter((start >= 0) & (start + F.col("n_words") <= F.col("size")))
-        .select("key", "n_words", start.alias("start"))
-        .distinct()
-    )
+    found = seen.join(F.broadcast(places) if small else places, "hash").select("key", "size", "n_words", (F.col("pos") - F.col("offset")).alias("at")).distinct()
+    moved = found.select("key", "size", "n_words", F.explode(F.sequence(F.col("at") - MOVES, F.col("at") + MOVES)).alias("start"))
+    windows = moved.filter((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.col("size"))).select("key", "n_words", "start").distinct()
     windows = written(windows, "windows")
     found = windows.select("key").distinct()
     whole = read.select("doc_id", key, "text").join(F.broadcast(found) if found.count() <= MOST_BROADCAST // 8 else found, "key", "left_semi").select("doc_id", "key", words(F.col("text")).alias("w"))
@@ -148,7 +146,7 @@ WITH bw AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text
 dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 bs AS (SELECT item_id, len(w) AS n_words, unnest(range(0, len(w) - 4)) AS o, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM bw WHERE len(w) >= 5),
 ds AS (SELECT doc_id, len(w) AS size, unnest(range(0, len(w) - 4)) AS p, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM dw WHERE len(w) >= 5),
-win AS (SELECT DISTINCT doc_id, p - o AS s, item_id, n_words FROM ds JOIN bs ON ds.g = bs.g WHERE p >= o AND p - o + n_words <= size),
+win AS (SELECT DISTINCT doc_id, p - o + m AS s, item_id, n_words FROM ds JOIN bs ON ds.g = bs.g, (SELECT unnest(range(-2, 3)) AS m) WHERE p - o + m >= 0 AND p - o + m + n_words <= size),
 wg AS (SELECT DISTINCT win.doc_id, win.s, win.item_id, ds.g FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.s AND ds.p <= win.s + win.n_words - 5),
 ig AS (SELECT DISTINCT item_id, g FROM bs),
 wt AS (SELECT doc_id, s, item_id, sum(length(g) - 4) AS t FROM wg GROUP BY ALL),

@@ -60,10 +60,28 @@ def buckets(points: np.ndarray) -> Iterator[np.ndarray]:
             yield h >> np.uint32(32 - BITS)
 
 
-def counts_of(points: np.ndarray) -> np.ndarray:
+def pieces(points: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Parts of a text and how many n-grams may start in each: every n-gram of the text starts in one part."""
+    for start in range(0, len(points), PIECE):
+        yield points[start : start + PIECE + max(ORDERS) - 1], min(PIECE, len(points) - start)
+
+
+def counts_of(parts: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The counts of all n-grams of the parts, none across two of them."""
     total = np.zeros(1 << BITS, dtype=np.int64)
-    for b in buckets(points):
-        total += np.bincount(b, minlength=1 << BITS)
+    if not parts:
+        return total
+    lengths = np.array([len(p) for p, _ in parts])
+    ends = np.cumsum(lengths)
+    starts = np.array([own for _, own in parts])
+    for n, b in zip(ORDERS, buckets(np.concatenate([p for p, _ in parts])), strict=False):
+        # The first starts of each part count, as far as the n-gram ends within it.
+        last = np.minimum(starts, lengths - n + 1)
+        edge = np.zeros(len(b) + 1, dtype=np.int32)
+        some = last > 0
+        np.add.at(edge, (ends - lengths)[some], 1)
+        np.add.at(edge, np.minimum((ends - lengths + last)[some], len(b)), -1)
+        total += np.bincount(b[np.cumsum(edge[:-1]) > 0], minlength=1 << BITS)
     return total
 
 
@@ -72,22 +90,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, int]]] = {}
         sizes: dict[str, int] = {}
 
         def add(name: str) -> None:
             if held.get(name):
-                sums.setdefault(name, np.zeros(1 << BITS, dtype=np.int64))
-                sums[name] += counts_of(np.concatenate(held[name]))
+                sums[name] = sums.get(name, 0) + counts_of(held[name])
             held[name], sizes[name] = [], 0
 
         for batch in batches:
             for name, text in zip(batch["lang"], batch["text"], strict=True):
-                points = folded(text)
-                # Texts are counted together, with a space between them; long ones in pieces.
-                for start in range(0, len(points), PIECE):
-                    held.setdefault(name, []).append(np.append(points[start : start + PIECE], np.uint32(32)))
-                    sizes[name] = sizes.get(name, 0) + len(held[name][-1])
+                for part in pieces(folded(text)):  # counted together, a bounded number of characters at a time
+                    held.setdefault(name, []).append(part)
+                    sizes[name] = sizes.get(name, 0) + len(part[0])
                     if sizes[name] >= PIECE:
                         add(name)
         for name in list(held):
@@ -120,8 +135,9 @@ def predictor(docs: DataFrame, langs: list[str], matrix: np.ndarray):
                 continue
             points = folded(text)
             votes = np.zeros(len(langs))
-            for start in range(0, len(points), PIECE):
-                for b in buckets(points[start : start + PIECE + max(ORDERS) - 1]):
+            for part, own in pieces(points):
+                for b in buckets(part):
+                    b = b[:own]
                     votes += np.bincount(b, minlength=1 << BITS) @ table if len(b) > 1 << BITS else table[b].sum(axis=0, dtype=np.float64)
             votes -= votes.max()
             share = np.exp(votes / len(ORDERS))

@@ -1,0 +1,26 @@
+"""Queries with SQL against it, on the smallest tables."""
+
+import os
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+from skeinwork.llm.queries import oracle_sql, queries  # noqa: E402
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries()[name](spark, DATA)
+    cols = sorted(df.columns)
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    found = con.execute(oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == cols
+    assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall())
