@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     rows = [list(r) for r in X.rows()]
     leak = rows[20][1]
     around = X.sentence(random.Random(77), 90)
-    rows.append([500, around + ", " + leak.upper() + "! " + around[::-1], "en", "s", 0])
+    rows.append([500, around + ", " + leak.title() + "! " + around[::-1], "en", "s", 0])
     spark.createDataFrame([tuple(r) for r in rows], X.SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d, rows
