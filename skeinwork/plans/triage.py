@@ -16,6 +16,7 @@ from skeinwork.operators.render import render
 from skeinwork.params import Params
 from skeinwork.plans.policy import Prompt, Words
 from skeinwork.plans.provider import Provider, Refused
+from skeinwork.sources.scratch import written
 
 REPLY = "dialog_id long, from_id int, to_id int, raw string, prompt_tokens long, completion_tokens long, cost double"
 
@@ -46,13 +47,13 @@ def ask(rendered: DataFrame, provider: Provider, prompt: Prompt, axes: tuple[str
     return rendered.repartition(jobs, "dialog_id", "from_id", "to_id").mapInPandas(call, REPLY)
 
 
-def triage(windows: DataFrame, archive: Archive, runs: DataFrame, provider: Provider, prompt: Prompt, w: Words, axes: tuple[str, ...], p: Params, at: int, jobs: int = 8, save=lambda df, name: df) -> DataFrame:
+def triage(windows: DataFrame, archive: Archive, runs: DataFrame, provider: Provider, prompt: Prompt, w: Words, axes: tuple[str, ...], p: Params, at: int, jobs: int = 8, save=written) -> DataFrame:
     """New rows of triage_runs for windows not judged yet.
 
     Keys are the original windows. A window that asks for more context is asked once more in its widened form,
-    if it can be widened. Only valid verdicts are kept, so a repeat run tries the others again. ``save`` keeps
-    answers (a paid call must not run twice): pass a function that writes a table and reads it back. Of a window
-    asked twice, the cost is the last call's; total_* have both.
+    if it can be widened. Only valid verdicts are kept, so a repeat run tries the others again. ``save`` writes
+    answers and reads them back, so that a paid call does not run twice. Of a window asked twice, the cost is the
+    last call's; total_* have both.
     """
     todo = not_judged(windows, runs, provider.model, prompt.id)
     key = ["dialog_id", "from_id", "to_id"]
