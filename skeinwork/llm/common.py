@@ -1,40 +1,13 @@
-"""What several operators share: the folder for written tables, and word rules."""
+"""What several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-MISSING = "unset"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-
-    Only where that is unset (a single machine, tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", MISSING)
-    if found != MISSING:
-        return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skeinwork-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts the lineage, and survives lost executors.
+from skeinwork.sources.scratch import written
 
-    The folder belongs to the run; whoever owns ``spark.checkpoint.dir`` clears it after the run.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["read", "text_or_empty", "written"]
 
 
 def text_or_empty(column: str = "text") -> Column:

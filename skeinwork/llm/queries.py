@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontamination, minhash, quality
+from skeinwork.llm import decontamination, minhash, quality, urls
 from skeinwork.llm.common import read
 from skeinwork.llm.decontamination import contaminated
 from skeinwork.llm.html import extract
@@ -89,4 +89,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.ORACLE_SQL, "op3_decontamination": decontamination.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
+    return {
+        "op1_minhash": minhash.ORACLE_SQL,
+        "op2_urls": urls.oracle_sql(URL_RULES),
+        "op3_decontamination": decontamination.ORACLE_SQL,
+        "op6_quality": quality.ORACLE_SQL,
+    }

@@ -130,3 +130,51 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], label: Colum
     judged = tree.join(pure, ["host", *S]).select("host", "shape", template.alias("template"), "purity")
     out = known.select("page_id", "host", "path", "rule", "said", "shape").join(judged, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+
+
+def oracle_sql(rules: Sequence[tuple[str, str]]) -> str:
+    """DuckDB SQL for the result of ``filter_urls`` on ``pages`` with these rules and their verdicts as labels."""
+
+    def fits(text: str) -> str:
+        own, slash, below = text.partition("/")
+        return f"((host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash + below}'))"
+
+    ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in ordered) + " END"
+    said = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in ordered) + " END"
+    shape = "CASE WHEN regexp_full_match({0}, '[0-9a-fA-F-]{{16,}}') THEN '{{hex}}' WHEN length({0}) > 40 THEN '{{long}}' ELSE regexp_replace({0}, '[0-9]+', '#', 'g') END"
+    levels = ", ".join(shape.format(f"coalesce(parts[{k + 1}], '')") + f" AS s{k}" for k in range(LEVELS))
+    every, purity = ", ".join(S), f"(sum(bad) + {STRENGTH / 2}::DOUBLE) / (sum(labelled) + {STRENGTH}::DOUBLE)"
+    steps = [
+        "r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"""h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)""",
+        f"k AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM h)",
+        f"l AS (SELECT * EXCLUDE (parts), {levels}, CASE WHEN len(parts) > {LEVELS} THEN '{DEEPER}' ELSE '' END AS s{LEVELS} FROM k)",
+        f"t AS (SELECT host, {every}, concat_ws('/', {every}) AS shape, count(*) AS n, count(said) AS labelled, count(*) FILTER (said = 'block') AS bad FROM l GROUP BY ALL)",
+    ]
+    now = "t"
+    for k in range(LEVELS):
+        node, name = ", ".join(["host", *S[:k]]), S[k]
+        both = ", ".join(["host", *S[: k + 1]])
+        under = ", ".join(S[k + 1 :])
+        steps += [
+            f"""w{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN wild THEN '*' ELSE {name} END AS {name}) FROM (SELECT x.*, coalesce(y.wild, FALSE) AND x.{name} <> '' AS wild FROM {now} x LEFT JOIN (
+              SELECT {node}, count(DISTINCT {name}) > {MOST_CHILDREN} AND sum(n) < {FEW_PAGES} * count(DISTINCT {name}) AS wild FROM {now} WHERE {name} <> '' GROUP BY {node}) y USING ({node})))""",
+            f"b{k} AS (SELECT {both}, sum(n) AS total, sum(labelled) AS labelled, sum(bad) AS bad FROM w{k} WHERE {name} <> '' GROUP BY ALL)",
+            f"u{k} AS (SELECT {both}, concat_ws('/', {under}) AS under, sum(n) AS n FROM w{k} WHERE {name} <> '' GROUP BY ALL)",
+            f"""f{k} AS (SELECT {both}, list_sort(list((under, round(n / total, 1)))) AS profile FROM u{k} JOIN b{k} USING ({both}) WHERE round(n / total, 1) >= 0.1 GROUP BY ALL)""",
+            f"""c{k} AS (SELECT b{k}.*, profile, CASE WHEN labelled = 0 THEN 'none' WHEN (bad + {STRENGTH / 2}::DOUBLE) / (labelled + {STRENGTH}::DOUBLE) >= {REJECT}::DOUBLE THEN 'bad'
+              WHEN (bad + {STRENGTH / 2}::DOUBLE) / (labelled + {STRENGTH}::DOUBLE) <= {1 - REJECT}::DOUBLE THEN 'good' ELSE 'mixed' END AS class FROM b{k} LEFT JOIN f{k} USING ({both}))""",
+            f"g{k} AS (SELECT {both}, CASE WHEN count(*) OVER kind > 1 THEN min({name}) OVER kind || '+' || (count(*) OVER kind - 1) ELSE {name} END AS merged FROM c{k} WINDOW kind AS (PARTITION BY {node}, profile, class))",
+            f"m{k} AS MATERIALIZED (SELECT w{k}.* EXCLUDE (wild) REPLACE (coalesce(merged, w{k}.{name}) AS {name}) FROM w{k} LEFT JOIN g{k} USING ({both}))",
+        ]
+        now = f"m{k}"
+    template = "'/' || concat_ws('/', " + ", ".join([S[0], *(f"nullif({s}, '')" for s in S[1:])]) + ")"
+    steps += [
+        f"p AS (SELECT host, {every}, {purity} AS purity FROM {now} GROUP BY ALL)",
+        f"j AS (SELECT host, shape, {template} AS template, purity FROM {now} JOIN p USING (host, {every}))",
+    ]
+    return (
+        "WITH " + ",\n".join(steps) + f"\nSELECT page_id, l.host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, template, purity "
+        f"FROM (SELECT *, concat_ws('/', {every}) AS shape FROM l) l LEFT JOIN j ON j.host = l.host AND j.shape = l.shape"
+    )
