@@ -4,7 +4,7 @@ Every document has the key (hash of its text, hash of its id and text), so equal
 side and a group of copies that outgrows a shard is still divisible. A splitter is found by
 counting: exact bytes and rows below candidate boundaries, over all partitions, then finer candidates
 inside the one interval that holds the wanted byte position, until the boundary is within tolerance.
-Only counts reach the driver (at most ``2**BITS`` a splitter and round). The rows move once.
+Only counts reach the driver, at most ``PROBES`` a round for all splitters together. The rows move once.
 
 Behaviour at the edges: a null text counts as empty (size 1, checksum 0); a null id is a value of its
 own; rows that agree in id and text have the same key and stay in one shard; an empty table gives an
@@ -13,14 +13,16 @@ empty result; other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.llm.common import text_or_empty, written
 
-#: Key bits that one round of counting tells apart.
+#: Key bits that the lookup of ranges goes by, and the first round of counting tells apart.
 BITS = 12
+#: Candidate intervals that one round of counting looks at, at most: the more splitters are open, the fewer for each.
+PROBES = 1 << 17
 #: Most ranges that the rows are dealt to: what is broadcast is one small row for each.
 MOST_RANGES = 4096
 LOWEST = -(1 << 63)
@@ -39,49 +41,46 @@ def keyed(docs: DataFrame, carry_text: bool = False) -> DataFrame:
     )
 
 
-def _prefix(level: int) -> tuple[Column, int]:
-    """The key's leading bits after ``level + 1`` rounds, within k1 or k2, and the bits left below."""
-    rounds = -(-64 // BITS)
-    column, step = (F.col("k1"), level) if level < rounds else (F.col("k2"), level - rounds)
-    left = max(0, 64 - BITS * (step + 1))
-    return F.shiftright(column, left), left
+def _inside(rows: DataFrame, open_at: list[tuple[int, int]], used: int) -> DataFrame:
+    """The rows whose first ``used`` key bits are those of an open interval (k1 or its prefix, prefix of k2)."""
+    if not used:
+        return rows
+    first, second = min(used, 64), max(used - 64, 0)
+    found = rows.sparkSession.createDataFrame(open_at, "__a long, __b long")
+    at = F.shiftright("k1", 64 - first) == F.col("__a")
+    if second:
+        at = at & (F.shiftright("k2", 64 - second) == F.col("__b"))
+    return rows.join(F.broadcast(found), at, "left_semi")  # one row for each open splitter at most
 
 
 def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
     """Boundaries (k1, k2) that cut the bytes into ``parts`` near equal runs, in order.
 
     A boundary is taken once it is within ``tolerance`` of a part's bytes, or when the interval around
-    the wanted position is a single key.
+    the wanted position has one row or is a single key.
     """
-    rounds = -(-64 // BITS)
+    top = ((1 << 63) - 1, (1 << 63) - 1)
     found: dict[int, tuple[int, int]] = {}
-    # Open intervals by the key bits that they share: (k1 if whole, prefix) -> wanted splitters, bytes before.
-    open_at: dict[tuple[int | None, int | None], tuple[list[int], int]] = {(None, None): (list(range(1, parts)), 0)}
-    total = slack = 0
-    for level in range(2 * rounds):
-        if not open_at:
-            break
-        prefix, left = _prefix(level)
-        fresh = level in (0, rounds)
-        width = BITS if left else 64 - BITS * (rounds - 1)
-        rows = keys.select("k1", "k2", "size", prefix.alias("p"))
-        if level:
-            outer = F.col("k1") if level >= rounds else F.lit(None).cast("long")
-            parent = F.lit(None).cast("long") if fresh else F.shiftright("p", width)
-            hit = F.lit(False)
-            for k1, p in open_at:
-                same = F.lit(True) if p is None else parent == F.lit(p)
-                hit |= same if k1 is None else same & (outer == F.lit(k1))
-            rows = rows.filter(hit)
-        by = [F.col("k1")] if level >= rounds else []
-        counts = rows.groupBy(*by, "p").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-        if level == 0:
+    # Open intervals by the key bits that they share: wanted splitters, and the bytes before the interval.
+    open_at: dict[tuple[int, int], tuple[list[int], int]] = {(0, 0): (list(range(1, parts)), 0)}
+    used, total, slack = 0, 0, 0
+    while open_at and used < 128:
+        width = max(1, min(BITS if not used else (PROBES // len(open_at)).bit_length() - 1, BITS, 64 - used % 64))
+        second = used >= 64
+        left = 64 - used % 64 - width
+        rows = _inside(keys.select("k1", "k2", "size"), list(open_at), used)
+        prefix = F.shiftright("k2" if second else "k1", left)
+        by = [F.col("k1").alias("a"), prefix.alias("p")] if second else [F.lit(0).cast("long").alias("a"), prefix.alias("p")]
+        counts = rows.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+        if not used:
             total = sum(r["bytes"] for r in counts)
             slack = max(1, int(total / parts * tolerance))
-        groups: dict[tuple[int | None, int | None], list] = {}
+        groups: dict[tuple[int, int], list] = {}
         for r in counts:
-            groups.setdefault((r["k1"] if by else None, None if fresh else r["p"] >> width), []).append(r)
-        further: dict[tuple[int | None, int | None], tuple[list[int], int]] = {}
+            outer = r["p"] >> width if used % 64 else 0
+            groups.setdefault((r["a"], outer) if second else (outer, 0), []).append(r)
+        used += width
+        further: dict[tuple[int, int], tuple[list[int], int]] = {}
         for key, (wanted, before) in open_at.items():
             run, below = iter(sorted(groups.get(key, []), key=lambda r: r["p"])), before
             r = next(run, None)
@@ -90,21 +89,17 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[
                 while r is not None and below + r["bytes"] <= target:
                     below, r = below + r["bytes"], next(run, None)
                 if r is None:
-                    found[j] = ((1 << 63) - 1, (1 << 63) - 1)
+                    found[j] = top
                     continue
                 near, over = target - below, below + r["bytes"] - target
-                start, end = r["p"] << left, (r["p"] + 1) << left
-                whole = level == 2 * rounds - 1 or r["n"] == 1
-                if min(near, over) <= slack or whole:
-                    at = start if near <= over else end
-                    if level < rounds:
-                        found[j] = (at, LOWEST) if at < 1 << 63 else ((1 << 63) - 1, (1 << 63) - 1)
+                if min(near, over) <= slack or used == 128 or r["n"] == 1:
+                    at = (r["p"] if near <= over else r["p"] + 1) << left
+                    if second:
+                        found[j] = (key[0], at) if at < 1 << 63 else (key[0] + 1, LOWEST)
                     else:
-                        found[j] = (key[0] if key[0] is not None else r["k1"], at) if at < 1 << 63 else (r["k1"] + 1, LOWEST)
+                        found[j] = (at, LOWEST) if at < 1 << 63 else top
                 else:
-                    k1 = r["p"] if level == rounds - 1 else key[0]
-                    spot = (k1, None if level == rounds - 1 else r["p"])
-                    further.setdefault(spot, ([], below))[0].append(j)
+                    further.setdefault((key[0], r["p"]) if second else (r["p"], 0), ([], below))[0].append(j)
         open_at = further
     return [found[j] for j in range(1, parts)]
 
