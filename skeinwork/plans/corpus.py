@@ -118,6 +118,7 @@ def runs(windows: DataFrame) -> DataFrame:
 
 
 def log_of(plan: DataFrame) -> DataFrame:
-    """A made-up log: some messages done, some pending, some failed."""
+    """A made-up log: some messages done, some pending, the others failed."""
     n = F.col("msg_id") % 13
-    return plan.filter(n < 3).select("dialog_id", "msg_id", F.lit("b").alias("batch_id"), F.when(n == 0, "done").when(n == 1, "pending").otherwise("error").alias("state"), F.lit(NOW).cast("long").alias("attempted_at"), F.lit(None).cast("string").alias("error"))
+    state = F.when(n == 0, "done").when(n == 1, "pending").otherwise("error")
+    return plan.select("dialog_id", "msg_id", F.lit("b").alias("batch_id"), state.alias("state"), F.lit(NOW).cast("long").alias("attempted_at"), F.lit(None).cast("string").alias("error"))

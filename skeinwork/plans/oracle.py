@@ -77,7 +77,7 @@ TABLES = {
       SELECT dialog_id, msg_id, reason, axis, 0.5::DOUBLE AS confidence, FALSE AS approved FROM
         (SELECT *, row_number() OVER (PARTITION BY dialog_id, msg_id ORDER BY window_from, window_to, nth) AS r FROM inr WHERE model = 'alpha' AND NOT protected) WHERE r = 1""",
     "appr": "SELECT * REPLACE (axis = 'ops' AS approved) FROM plan",
-    "dlog": "SELECT dialog_id, msg_id, CASE msg_id % 13 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' ELSE 'error' END AS state FROM appr WHERE msg_id % 13 < 3",
+    "dlog": "SELECT dialog_id, msg_id, CASE msg_id % 13 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' ELSE 'error' END AS state FROM appr",
     "dele": """
       SELECT a.dialog_id, a.msg_id, d.kind, d.title, d.kind IN ('chat', 'saved_messages') OR d.access_hash IS NOT NULL AS peer_ok, m.date, m.pos
       FROM appr a JOIN dlgs d ON d.id = a.dialog_id JOIN msgs m ON m.dialog_id = a.dialog_id AND m.msg_id = a.msg_id LEFT JOIN dlog x ON x.dialog_id = a.dialog_id AND x.msg_id = a.msg_id
@@ -148,11 +148,12 @@ STATEMENTS = {
       FROM exps WHERE role <> 'system'""",
     "ingest_dialogs": "SELECT dialog_id AS id, 'user' AS kind, 'id' || dialog_id AS title, count(*) FILTER (role <> 'system') AS msg_count FROM exps GROUP BY dialog_id",
     "upsert_dialogs": """
-      SELECT coalesce(n.id, o.id) AS id, coalesce(n.kind, o.kind) AS kind, o.access_hash, coalesce('new ' || n.title, o.title) AS title, greatest(n.msg_count - n.id % 5 + 2, o.msg_count) AS msg_count
-      FROM (SELECT * FROM dlgs WHERE id % 3 <> 0) o FULL JOIN (SELECT * FROM dlgs WHERE id % 2 = 0) n ON n.id = o.id""",
+      SELECT coalesce(n.id + 40, o.id) AS id, coalesce(n.kind, o.kind) AS kind, o.access_hash, coalesce('new ' || n.title, o.title) AS title, greatest(n.msg_count - n.id % 5 + 2, o.msg_count) AS msg_count
+      FROM dlgs o FULL JOIN dlgs n ON n.id + 40 = o.id""",
     "replace_messages": """
-      SELECT dialog_id, count(*) AS messages, CAST(sum(length(text) + CASE WHEN msg_id % 4 = 0 THEN 6 ELSE 0 END) AS BIGINT) AS chars, CAST(sum(CASE WHEN protected AND msg_id % 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS protected
-      FROM msgs GROUP BY dialog_id""",
+      SELECT dialog_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN protected THEN 1 ELSE 0 END) AS BIGINT) AS protected FROM (
+        SELECT dialog_id, CASE WHEN msg_id % 4 = 0 THEN 'again ' || text ELSE text END AS text, protected AND msg_id % 4 <> 0 AS protected FROM msgs
+        UNION ALL SELECT dialog_id, 'again ' || text, FALSE FROM msgs WHERE msg_id % 4 <> 0) GROUP BY dialog_id""",
     "enrich_access_hash": "SELECT id, h AS access_hash, kind IN ('chat', 'saved_messages') OR h IS NOT NULL AS peer_ok FROM (SELECT *, CASE WHEN id % 8 = 0 THEN id + 7 ELSE access_hash END AS h FROM dlgs)",
     "keyword_hits": "SELECT * FROM kw",
     "structural_hits": "SELECT * FROM st",

@@ -130,24 +130,33 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = C.dialogs(spark, sf_dir).filter("id % 3 <> 0")
-    new = C.dialogs(spark, sf_dir).filter("id % 2 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "access_hash": F.lit(None).cast("long"), "msg_count": F.col("msg_count") - F.col("id") % 5 + 2})
+    """A second ingest whose dialogs are known, new, or missing: its ids are moved."""
+    old = C.dialogs(spark, sf_dir)
+    new = old.withColumns({"id": F.col("id") + 40, "title": F.concat(F.lit("new "), "title"), "access_hash": F.lit(None).cast("long"), "msg_count": F.col("msg_count") - F.col("id") % 5 + 2})
     return store.upserted_dialogs(old, new).select("id", "kind", "access_hash", "title", "msg_count")
 
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages ingested a second time: the new row stays, without its protection."""
+    """Messages ingested a second time, a quarter under their old ids: the new row stays, without its protection."""
     old = C.messages(spark, sf_dir)
-    new = old.filter("msg_id % 4 = 0").withColumns({"text": F.concat(F.lit("again "), "text"), "protected": F.lit(False)})
+    again = F.when(F.col("msg_id") % 4 == 0, F.col("msg_id")).otherwise(F.col("msg_id") + 100_000_000)
+    new = old.withColumns({"msg_id": again, "text": F.concat(F.lit("again "), "text"), "protected": F.lit(False)})
     return store.newest(old, new, ["dialog_id", "msg_id"]).groupBy("dialog_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("protected").cast("int")).alias("protected"))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.dialogs(spark, sf_dir).filter("id % 8 = 0").select("id", (F.col("id") + 7).alias("access_hash"))
+    """Access hashes of a second source, which knows only some."""
+    found = C.dialogs(spark, sf_dir).select("id", F.when(F.col("id") % 8 == 0, F.col("id") + 7).alias("access_hash"))
     d = store.with_access_hashes(C.dialogs(spark, sf_dir), found)
     return d.select("id", "access_hash", S.addressable(F.col("kind"), F.col("access_hash")).alias("peer_ok"))
 
 
+def not_judged(a: Archive) -> DataFrame:
+    """Windows to do when odd dialogs were judged under an older policy."""
+    runs = a.runs.withColumn("prompt_id", F.when(F.col("dialog_id") % 2 == 0, C.PROMPT).otherwise("en-0"))
+    return plan.not_judged(a.windows, runs, C.MODELS[0], C.PROMPT).select("dialog_id", "from_id", "to_id")
+
+
 def verdict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict parser over texts made from orders, good and bad in nine ways."""
     o = C.read(spark, sf_dir, "orders")
@@ -209,7 +218,8 @@ def diff_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Archive(spark, sf_dir)
-    spoken = a.messages.filter("media_type IS NOT NULL AND msg_id % 20 = 0").select("dialog_id", "msg_id", F.lit("said").alias("text"), F.lit("m").alias("model"))
+    said = F.when(F.col("media_type").isNotNull() & (F.col("msg_id") % 20 == 0), "said")
+    spoken = a.messages.select("dialog_id", "msg_id", said.alias("text"), F.lit("m").alias("model"))
     return render(a.windows, a.placed, a.hits, a.dialogs, spoken, ENGLISH)
 
 
@@ -246,7 +256,7 @@ def queries() -> dict[str, Query]:
         "windows_sample": on_archive(lambda a: listed(windows.select(a.windows, limit=3, sample=25))),
         "windows_cutoff": on_archive(lambda a: listed(windows.select(a.windows, cutoff=cutoff))),
         "windows_expand": expanded,
-        "windows_not_judged": on_archive(lambda a: plan.not_judged(a.windows, a.runs.filter("dialog_id % 2 = 0"), C.MODELS[0], C.PROMPT).select("dialog_id", "from_id", "to_id")),
+        "windows_not_judged": on_archive(not_judged),
         "window_text": rendered,
         "verdict_check": verdict_check,
         "plan": on_archive(lambda a: a.plan),
