@@ -158,22 +158,22 @@ def term_matches(dictionary: Dictionary):
 
 def regex_matches(text: Column, rules: list[Rule]) -> Column:
     """An array of the first match of each regular expression, without leaving the JVM; letters are Unicode's."""
-    found = []
-    for r in rules:
-        surface = F.regexp_substr(text, F.lit("(?U)" + r.pattern))
-        found.append(
-            F.struct(
-                F.lit(r.axis).alias("axis"),
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.rule_id).alias("term"),
-                F.lit(float(r.weight)).alias("weight"),
-                F.lit("regex").alias("layer"),
-                clip(surface).alias("surface"),
-            )
-        )
-    if not found:
+    if not rules:
         return F.from_json(F.lit("[]"), MATCHES)
-    return F.filter(F.array(*found), lambda m: m["surface"].isNotNull())
+    found = [
+        F.struct(
+            F.lit(r.axis).alias("axis"),
+            F.lit(r.rule_id).alias("rule_id"),
+            F.lit(r.rule_id).alias("term"),
+            F.lit(float(r.weight)).alias("weight"),
+            F.lit("regex").alias("layer"),
+            F.regexp_substr(text, F.lit("(?U)" + r.pattern)).alias("surface"),
+        )
+        for r in rules
+    ]
+    # Each expression is searched for once; clipping looks at what was found.
+    there = F.filter(F.array(*found), lambda m: m["surface"].isNotNull())
+    return F.transform(there, lambda m: F.struct(*(m[c].alias(c) for c in ("axis", "rule_id", "term", "weight", "layer")), clip(m["surface"]).alias("surface")))
 
 
 def probe(spark, dictionary: Dictionary, text: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from skeinwork.functions.matcher import Dictionary, Rule
 from skeinwork.functions.scalars import midnight
 from skeinwork.params import Params
+from skeinwork.sources.tables import read
 
 NOW = midnight("2024-07-14")
 EVENTS = Params(now=NOW, pad=2, gap=2, threshold=2.0, max_window=12, max_range=3, structural_axis="ties")
@@ -26,10 +27,6 @@ MODELS = ("alpha", "beta")
 PROMPT = "en-1"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def seconds(df: DataFrame, column: str) -> Column:
     """Epoch seconds; a time without zone is UTC, whatever the session's zone."""
     if df.schema[column].dataType.typeName() == "timestamp_ntz":

@@ -19,6 +19,7 @@ from skeinwork.plans import corpus as C
 from skeinwork.plans.policy import ENGLISH
 from skeinwork.sources import export, store
 from skeinwork.sources.scratch import written
+from skeinwork.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = C.EVENTS
@@ -71,7 +72,7 @@ def listed(df: DataFrame) -> DataFrame:
 
 def regex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bundled pack over documents: hits by axis, rule and age."""
-    docs = C.read(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     p = Params(now=C.NOW)
     as_messages = docs.select(F.col("doc_id").alias("dialog_id"), F.lit(1).alias("msg_id"), (F.lit(C.NOW) - F.col("doc_id") * 40_000).alias("date"), F.coalesce("text", F.lit("")).alias("text"))
     hits = scan.keyword_pass(as_messages, Dictionary(BUNDLED), p).hits
@@ -87,7 +88,7 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every card-number hit with its clipped surface."""
-    docs = C.read(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     as_messages = docs.select(F.col("doc_id").alias("dialog_id"), F.lit(1).alias("msg_id"), F.lit(C.NOW).cast("long").alias("date"), F.coalesce("text", F.lit("")).alias("text"))
     return scan.keyword_pass(as_messages, Dictionary(tuple(r for r in BUNDLED if r.rule_id == "card_number")), Params(now=C.NOW)).hits.select("dialog_id", "rule_id", "surface", "priority")
 
@@ -99,7 +100,7 @@ def messages_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems and a keep-list over conversations: normal forms, matches and protection."""
     pack = Dictionary((Rule("words", "stem", 1.0, "term", "tion"), Rule("words", "phrase", 1.0, "term", "the the"), Rule("words", "other", 2.0, "term", "здравств")), keep=("halyon",), override=("scum",))
-    c = C.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = read_spread(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     s = c.select("conv_id", "turn", term_matches(pack)(F.coalesce("text", F.lit(""))).alias("s"))
     return s.select("conv_id", "turn", F.length("s.normal").alias("letters"), "s.protected", F.array_join(F.transform("s.matches", lambda m: F.concat_ws(":", m["rule_id"], m["surface"])), ",").alias("matches"))
 
