@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skeinwork.sources.scratch import written
+from skeinwork.sources.tables import read, read_spread
 
-__all__ = ["read", "text_or_empty", "written"]
+__all__ = ["read", "read_spread", "text_or_empty", "written"]
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import decontamination, minhash, quality, urls
-from skeinwork.llm.common import read
+from skeinwork.llm.common import read, read_spread
 from skeinwork.llm.decontamination import contaminated
 from skeinwork.llm.html import extract
 from skeinwork.llm.langid import identify
@@ -32,7 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(read_spread(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,29 +44,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(read(spark, sf_dir, "pages"))
+    return extract(read_spread(spark, sf_dir, "pages"))
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by likeness to the documents that are labelled as good."""
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return score_documents(read(spark, sf_dir, "documents"), good)
+    return score_documents(read_spread(spark, sf_dir, "documents"), good)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(read(spark, sf_dir, "documents"))
+    return score_quality(read_spread(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return score_toxicity(read_spread(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read_spread(spark, sf_dir, "documents"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(read(spark, sf_dir, "documents"))
+    return identify(read_spread(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
