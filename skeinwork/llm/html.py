@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import written
+from skeinwork.llm.common import bounded_batches, written
 
 # Tag names of HTML, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,7 +283,7 @@ def extract(pages: DataFrame) -> DataFrame:
             out.append(page.text(roots, fine))
         return pd.Series(out, dtype="string")
 
-    winners = written(consensus(pages), "winners")
+    winners = written(consensus(bounded_batches(pages)), "winners")
     size = winners.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0
     winners = F.broadcast(winners) if size <= MOST_BROADCAST else winners
     named = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))

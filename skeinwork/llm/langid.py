@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import bounded_batches
+
 BITS = 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
@@ -111,7 +113,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": own[at]})
 
-    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = bounded_batches(docs).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = labelled.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((1 << BITS, len(langs)), SMOOTHING)

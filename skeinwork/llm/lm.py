@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import bounded_batches
+
 ORDER = 4
 BITS = 18
 #: Counts of the lower order that a higher one is smoothed with.
@@ -115,7 +117,7 @@ def losses(points: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.nda
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (means over tokens, in bits) of every row."""
-    counts = train(docs, target)
+    counts = train(bounded_batches(docs), target)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     @F.pandas_udf(SCHEMA)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwork.llm.common import written
+from skeinwork.llm.common import bounded_batches, written
 from skeinwork.llm.components import components
 
 WIDTH = 5
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Documents are linked where ``100 * intersection >= percent * union``; ``component_id`` is the least id
     reachable by links, ``class_id`` the least id with the same words.
     """
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(
         whole.mapInPandas(_signatures(rows_of_a_band(percent)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"),
         "signatures",

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwork.llm.common import written
+from skeinwork.llm.common import bounded_batches, written
 
 WINDOW = 2048
 END = 1
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None, carry
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * carry_ids)
 
 

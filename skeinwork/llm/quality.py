@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import bounded_batches
+
 #: Rows that costs and selectivities are estimated on, at most.
 SAMPLE_ROWS = 2000
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -121,7 +123,7 @@ RULES = (
 
 def estimated_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[int]:
     """Places of ``rules``, the one with the most rejections a second first."""
-    total = docs.count()
+    total = bounded_batches(docs).count()
     if not total:
         return list(range(len(rules)))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwork.llm.common import written
+from skeinwork.llm.common import bounded_batches, written
 
 #: Labelled rows of each label that a fit looks at, at most.
 SAMPLE = 4000
@@ -256,5 +256,5 @@ def held_out() -> Column:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; held-out rows' labels are not used."""
-    lexicon = learn(docs, labels.filter(~held_out()), sample)
+    lexicon = learn(bounded_batches(docs), labels.filter(~held_out()), sample)
     return docs.select("doc_id", held_out().alias("held_out"), scorer(lexicon)(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
