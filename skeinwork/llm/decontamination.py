@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits of the lower-cased text; shingles are five words. A document's window
 of an item's size is fingerprinted if it has one of the benchmark's shingles within ``MOVES`` words of the
-place where the item has it; what lies further off shares less with the item than one of these. Fingerprints have 64 bits; the benchmark's are
+place where the item has it. A window that would leave the document is moved to the document's end, and a document
+shorter than the item is one window, so an item cut off at an end is compared too. Fingerprints have 64 bits; the benchmark's are
 entered under every value within two bits of each of their seven blocks, so a lookup of a window's blocks
 finds all fingerprints within ``RADIUS`` bits. Candidates of the same size within the radius are then
 compared exactly: the letters in common shingles over the letters in all, at least ``THRESHOLD``.
@@ -11,7 +12,7 @@ Only DataFrame functions are used. Documents are read in one pass without a shuf
 shingles are broadcast only if there are at most ``MOST_BROADCAST`` of them, else joined by a shuffle.
 
 Edges: null or empty texts, items and documents of under five words match nothing; repeated rows give the
-same matches once; rows of one id are judged each on its own text, and reported under the id; a null id
+same matches once; a shorter document's window has its own number of words; rows of one id are judged each on its own text, and reported under the id; a null id
 is an id of its own; empty tables give an empty result; other columns are ignored.
 """
 
@@ -111,14 +112,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     seen = split.select("key", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"))).alias("pos", "hash"))
     found = seen.join(F.broadcast(places) if small else places, "hash").select("key", "size", "n_words", (F.col("pos") - F.col("offset")).alias("at")).distinct()
     moved = found.select("key", "size", "n_words", F.explode(F.sequence(F.col("at") - MOVES, F.col("at") + MOVES)).alias("start"))
-    windows = moved.filter((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.col("size"))).select("key", "n_words", "start").distinct()
+    last = F.greatest(F.col("size") - F.col("n_words"), F.lit(0))
+    windows = moved.select("key", "n_words", F.greatest(F.least("start", last), F.lit(0)).alias("start")).distinct()
     windows = written(windows, "windows")
     found = windows.select("key").distinct()
     whole = read.select("doc_id", key, "text").join(F.broadcast(found) if found.count() <= MOST_BROADCAST // 8 else found, "key", "left_semi").select("doc_id", "key", words(F.col("text")).alias("w"))
     part = F.slice("w", F.col("start") + 1, F.col("n_words"))
     cut = windows.join(whole.dropDuplicates(["key"]), "key").select("doc_id", "key", "start", "n_words", part.alias("w"))
-    cut = cut.select("doc_id", "key", "start", "n_words", shingles(F.col("w")).alias("h"), letters(F.col("w")).alias("c"))
-    cut = written(cut.select("doc_id", "key", "start", "n_words", gram.alias("grams")), "windows")
+    # ``n_words`` is the item's size, ``own`` the window's: less only if the document is shorter than the item.
+    cut = cut.select("doc_id", "key", "start", "n_words", F.size("w").alias("own"), shingles(F.col("w")).alias("h"), letters(F.col("w")).alias("c"))
+    cut = written(cut.select("doc_id", "key", "start", "n_words", "own", gram.alias("grams")), "windows")
     mine = fingerprinted(cut, ["key", "start", "n_words"])
     theirs = written(fingerprinted(items, ["item_id", "n_words"]), "items")
     # The lookup carries fingerprints only; the shingles come back for the few pairs within the radius.
@@ -129,10 +132,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     pairs = near.join(cut, ["key", "start", "n_words"]).join(theirs.select("item_id", "n_words", F.col("grams").alias("item_grams")), ["item_id", "n_words"])
     a, b = F.array_distinct("grams"), F.array_distinct("item_grams")
     common = _weight(F.array_intersect(a, b))
-    exact = pairs.select("doc_id", "item_id", "start", "n_words", common.alias("common"), (_weight(a) + _weight(b)).alias("both"))
+    exact = pairs.select("doc_id", "item_id", "start", "own", common.alias("common"), (_weight(a) + _weight(b)).alias("both"))
     exact = exact.withColumn("similarity", F.col("common") / (F.col("both") - F.col("common"))).filter(F.col("similarity") >= threshold)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "own")).alias("best"))
+    return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.own").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

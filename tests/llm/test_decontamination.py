@@ -53,6 +53,23 @@ def test_windows_of_brute_force_are_found(spark):
     assert len(got) >= 10
 
 
+def test_items_cut_off_at_an_end_of_a_document_are_found(spark):
+    rng = random.Random(4)
+    item, rest = X.sentence(rng, 40).split(), X.sentence(rng, 30).split()
+    docs = [(1, item[3:] + rest), (2, rest + item[:-3]), (3, item[:-1]), (4, item[2:]), (5, item[:20]), (6, item[20:] + rest)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["n_words"], round(r["similarity"], 9)) for r in D.contaminated(df, spark.createDataFrame([(9, " ".join(item))], ITEMS)).collect()}
+    weight = lambda g: sum(sum(map(len, x)) for x in g)
+    expected = {}
+    for k, w in docs:
+        windows = [(at, w[at : at + 40]) for at in range(max(1, len(w) - 39))]
+        sims = [(weight(set(grams(x)) & set(grams(item))) / weight(set(grams(x)) | set(grams(item))), -at, len(x)) for at, x in windows]
+        sim, back, n = max(sims)
+        if sim >= 0.8:
+            expected[k] = (-back, n, round(sim, 9))
+    assert got == expected and sorted(got) == [1, 2, 3, 4]
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng = random.Random(2)
     rows = []
