@@ -1,13 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
-Two character n-gram models of the same form and vocabulary (hashed n-grams of up to ``ORDER`` characters
+Two character n-gram models of the same form and vocabulary (n-grams of up to ``ORDER`` characters
 of the lower-cased, space-squeezed text) are counted: one on the target documents, one on all documents.
 A token's loss is its negative binary logarithm under a model that smooths each order with the one below;
 a document's score is the mean over its tokens of background loss minus target loss: the higher, the more
 the document is like the target.
 
-Counts are summed within a partition and then by Spark, over all documents; the model has a fixed number
-of slots, so what reaches the driver and is broadcast does not grow with the input.
+Every n-gram has a row and a count of its own, so the tables grow with the corpus. Only the longest n-grams
+are counted from texts: the shorter ones' counts, and so a token's loss, follow from them. A block of
+documents gets the losses of its own n-grams by a join; no model is collected or broadcast.
 
 Edges: a null or blank text has no tokens, losses and score 0; without target documents the target model
 is the uniform one; a target id that is null or repeated counts as no more than its documents; repeated
@@ -23,15 +24,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import bounded_batches
+from skeinwork.llm.common import bounded_batches, written
 
 ORDER = 4
+#: Slots of ``slots`` and ``losses``, a bounded model that ``score_documents`` does not use.
 BITS = 18
 #: Counts of the lower order that a higher one is smoothed with.
 STRENGTH = 5.0
 #: Characters that the uniform model tells apart.
 ALPHABET = 65536.0
-START, END = 2, 3
+#: Marks that no text can hold.
+START, END = 0x110000, 0x110001
+#: Bits of a code point or a mark; a row of the tables has an n-gram as two pairs of them.
+POINT = 21
+#: Rows of a block of documents, as a power of 2.
+BLOCK = 11
 #: Characters that are turned to n-grams at a time.
 PIECE = 1 << 20
 MOST_BROADCAST = 1_000_000
@@ -61,48 +68,90 @@ def slots(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Counts (order, slot, [target, background]) of all documents; order 0 has the totals."""
-    ids = target.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct()
-    # The ids are broadcast only if a count says that there are few.
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    marked = docs.join(ids, docs["doc_id"] == F.col("__id"), "left").select(F.col("text").cast("string").alias("text"), F.col("__id").isNotNull().alias("target"))
+def windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second pair of every n-gram of ``ORDER`` characters, part by part, none across two parts."""
+    points = np.concatenate(parts).astype(np.int64)
+    pairs = points[:-1] << POINT | points[1:]
+    inside = np.ones(len(points) - ORDER + 1, dtype=bool)
+    ends = np.cumsum([len(p) for p in parts])[:-1]
+    for k in range(1, ORDER):
+        inside[ends - k] = False
+    at = np.flatnonzero(inside)
+    return pairs[at], pairs[at + 2]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((ORDER, 1 << BITS, 2), dtype=np.int64)
-        held: tuple[list, list] = ([], [])
-        sizes = [0, 0]
 
-        def add(kind: int) -> None:
-            for n in range(ORDER):
-                if held[kind]:
-                    sums[n, :, kind] += np.bincount(np.concatenate([s[n] for s in held[kind]]), minlength=1 << BITS)
-            held[kind].clear()
-            sizes[kind] = 0
+def pieces(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a text with ``ORDER - 1`` characters of overlap, so that every n-gram is in one of them."""
+    for start in range(0, max(0, len(points) - ORDER + 1), PIECE):
+        yield points[start : start + PIECE + ORDER - 1]
+
+
+def summed(a: np.ndarray, b: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each n-gram once, with the sums of its counts."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    keys, at = np.unique(at[: len(a)] * len(names) + at[len(a) :], return_inverse=True)
+    sums = (np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in (t, n))
+    return names[keys // len(names)], names[keys % len(names)], *sums
+
 
+def grams(blocks: DataFrame) -> DataFrame:
+    """block, a, b, t, n: how often the target and all documents of a block have the n-gram of the pairs a and b."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, wanted in zip(batch["text"], batch["target"], strict=True):
-                points = tokens(text)
-                # A long text is cut with ORDER characters of overlap, so that every n-gram is counted once.
-                for start in range(0, max(0, len(points) - ORDER), PIECE):
-                    part = slots(points[start : start + PIECE + ORDER])
-                    part = [s[1:] if start or n == 0 else s for n, s in enumerate(part)]
-                    kind = 0 if wanted else 1
-                    held[kind].append(part)
-                    sizes[kind] += len(part[0])
-                    if sizes[kind] >= PIECE:
-                        add(kind)
-        add(0)
-        add(1)
-        sums[:, :, 1] += sums[:, :, 0]  # the background is all documents
-        order, slot = np.nonzero(sums[:, :, 1])
-        yield pd.DataFrame({"n": order.astype(np.int32), "slot": slot.astype(np.int32), "t": sums[order, slot, 0], "b": sums[order, slot, 1]})
-
-    rows = marked.mapInPandas(count, "n int, slot int, t long, b long").groupBy("n", "slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
-    counts = np.zeros((ORDER, 1 << BITS, 2), dtype=np.float32)
-    counts[rows["n"], rows["slot"], 0] = rows["t"]
-    counts[rows["n"], rows["slot"], 1] = rows["b"]
-    return counts
+            for block, rows in batch.groupby("block"):
+                found, held, size = [], ([], []), 0
+
+                def add() -> None:
+                    for kind in (0, 1):
+                        if held[kind]:
+                            a, b = windows(held[kind])
+                            found.append(summed(a, b, np.full(len(a), kind), np.ones(len(a))))
+                            held[kind].clear()
+
+                for text, wanted in zip(rows["text"], rows["target"], strict=True):
+                    for part in pieces(tokens(text)):
+                        held[int(wanted)].append(part)
+                        size += len(part)
+                        if size >= PIECE:
+                            add()
+                            size = 0
+                add()
+                if found:
+                    a, b, t, n = summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                    yield pd.DataFrame({"block": block, "a": a, "b": b, "t": t, "n": n})
+
+    return blocks.select("block", "text", "target").mapInPandas(count, "block long, a long, b long, t long, n long")
+
+
+def gram_losses(counted: DataFrame) -> DataFrame:
+    """a, b, target_loss and background_loss of the last character of every n-gram, from the counts of all n-grams."""
+    low = (1 << POINT) - 1
+    middle = F.col("a").bitwiseAND(F.lit(low)) * (1 << POINT) + F.shiftright("b", POINT)
+    four = counted.groupBy("a", "b").agg(F.sum("t").alias("t4"), F.sum("n").alias("n4")).withColumn("m", middle)
+    four = written(four, "four").withColumns({"x2": F.shiftright("m", POINT), "x3": F.shiftright("b", POINT), "x4": F.col("b").bitwiseAND(F.lit(low))})
+
+    def sums(rows: DataFrame, k: int, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(f"t{k + 1}").alias(f"t{k}"), F.sum(f"n{k + 1}").alias(f"n{k}"))
+
+    three = written(sums(four, 3, "x2", "b"), "three")
+    two = written(sums(three, 2, "b"), "two")
+    # The mark before a text is no token; there are no more single characters than code points.
+    one = written(sums(two.withColumn("x4", F.col("b").bitwiseAND(F.lit(low))), 1, "x4").filter(F.col("x4") != START), "one")
+    total = one.agg(F.coalesce(F.sum("t1"), F.lit(0)).alias("t0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n0"))
+    # The contexts' counts: the same tables by the characters before the last.
+    before = {k: [F.col(f"{c}{k}").alias(f"{c}b{k}") for c in "tn"] for k in (1, 2, 3)}
+    first = three.select((F.col("x2") * (1 << POINT) + F.shiftright("b", POINT)).alias("a"), F.col("b").bitwiseAND(F.lit(low)).alias("x3"), *before[3])
+    out = four.filter(F.col("x4") != START).join(three, ["x2", "b"]).join(first, ["a", "x3"]).join(two, "b").join(two.select(F.col("b").alias("m"), *before[2]), "m")
+    out = out.join(F.broadcast(one), "x4").join(F.broadcast(one.select(F.col("x4").alias("x3"), *before[1])), "x3", "left").crossJoin(F.broadcast(total))
+
+    def loss(c: str):
+        p = F.lit(1.0 / ALPHABET)
+        for k, below in enumerate((f"{c}0", f"{c}b1", f"{c}b2", f"{c}b3"), 1):
+            p = (F.col(f"{c}{k}") + STRENGTH * p) / (F.coalesce(F.col(below), F.lit(0)) + STRENGTH)
+        return -F.log2(p)
+
+    return out.select("a", "b", loss("t").alias("target_loss"), loss("n").alias("background_loss"))
 
 
 def losses(points: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -115,24 +164,49 @@ def losses(points: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.nda
     return -np.log2(p).sum(axis=0, dtype=np.float64)
 
 
+def score_block(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """The scores of a block of documents, by the losses of all its n-grams."""
+    n, sums = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), 2))
+    names = np.unique(np.concatenate([table["a"], table["b"]]))
+    keys = np.searchsorted(names, table["a"]) * len(names) + np.searchsorted(names, table["b"])
+    order = np.argsort(keys)
+    keys, values = keys[order], table[["target_loss", "background_loss"]].to_numpy(dtype=float)[order]
+    held, size = [], 0
+
+    def add() -> None:
+        if not held:
+            return
+        a, b = windows([p for _, p in held])
+        own = values[np.searchsorted(keys, np.searchsorted(names, a) * len(names) + np.searchsorted(names, b))]
+        at = np.repeat([k for k, _ in held], [len(p) - ORDER + 1 for _, p in held])
+        for kind in (0, 1):
+            sums[:, kind] += np.bincount(at, weights=own[:, kind], minlength=len(rows))
+        held.clear()
+
+    for k, text in enumerate(rows["text"]):
+        points = tokens(text)[1:]
+        n[k] = max(0, len(points) - ORDER + 1)
+        for part in pieces(points):
+            held.append((k, part))
+            size += len(part)
+            if size >= PIECE:
+                add()
+                size = 0
+    add()
+    both = np.round(sums / np.maximum(n, 1)[:, None], 6)
+    return pd.DataFrame({"id": rows["id"], "n_tokens": n, "target_loss": both[:, 0], "background_loss": both[:, 1], "score": np.round(both[:, 1] - both[:, 0], 6)})
+
+
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (means over tokens, in bits) of every row."""
-    counts = train(bounded_batches(docs), target)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    @F.pandas_udf(SCHEMA)
-    def score(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
-        totals = model[0].sum(axis=0, dtype=np.float64)
-        out = []
-        for text in texts:
-            points = tokens(text)
-            n = max(0, len(points) - ORDER)
-            both = np.zeros(2)
-            for start in range(0, n, PIECE):
-                both += losses(points[start : start + PIECE + ORDER], model, totals)
-            both = np.round(both / max(1, n), 6)
-            out.append((n, both[0], both[1], round(both[1] - both[0], 6)))
-        return pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", score(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
+    ids = target.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct()
+    # The ids are broadcast only if a count says that there are few.
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    marked = bounded_batches(docs).join(ids, docs["doc_id"] == F.col("__id"), "left")
+    # Ids go through pandas as strings, which keep nulls and long numbers.
+    blocks = marked.select(docs["doc_id"].cast("string").alias("id"), docs["text"].cast("string").alias("text"), F.col("__id").isNotNull().alias("target"), F.shiftright(F.monotonically_increasing_id(), BLOCK).alias("block"))
+    blocks = written(blocks, "blocks")
+    counted = written(grams(blocks), "grams")
+    looked = counted.select("block", "a", "b").distinct().join(gram_losses(counted.select("a", "b", "t", "n")), ["a", "b"])
+    scored = blocks.select("block", "id", "text").groupBy("block").cogroup(looked.groupBy("block")).applyInPandas(score_block, f"id string, {SCHEMA}")
+    return scored.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")

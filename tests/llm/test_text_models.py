@@ -155,6 +155,18 @@ def test_losses_match_a_plain_model(spark):
     assert lm.score_documents(X.empty(spark), target).count() == 0
 
 
+def test_every_ngram_has_a_count_of_its_own(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000)), "zh", "s", 0) for k in range(12)] + [((1 << 60) + 1, "\x02 a\x03 " * 3, None, "s", 0)]
+    monkeypatch.setattr(lm, "PIECE", 1500)
+    target = spark.createDataFrame([(k,) for k in range(4)], "doc_id long")
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, X.SCHEMA), target).collect()}
+    texts = [t for _, t, *_ in rows]
+    for i, t, *_ in rows[-3:] + rows[:2]:
+        a, b = slow_losses(t, texts[:4], texts)
+        assert abs(got[i]["target_loss"] - a) < 1e-5 and abs(got[i]["background_loss"] - b) < 1e-5
+
+
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     t = X.sentence(random.Random(3), 400)
     counts = np.random.default_rng(1).integers(0, 50, (lm.ORDER, 1 << lm.BITS, 2)).astype(np.float32)
