@@ -6,8 +6,8 @@ an exception phrase does not count. The weights of the hits, and their share of
 through a logistic curve, so a long text is not toxic for its length.
 
 Lexicon, exceptions and curve are learnt from a bounded sample of labelled rows: at most ``SAMPLE`` of
-each label, those with the smallest hashes of their ids, near copies counted once. Every text is scored
-whole.
+each label, those with the smallest hashes of their ids, near copies counted once: a row goes only if its
+text, or four fifths of its five-word shingles, are those of a row with a lesser id. Every text is scored whole.
 
 Edges: a null, blank or unmatched text has the curve's value at no hits; without labels of both kinds there
 is no lexicon and every score is 0; labels that are null, or that contradict each other on one id, teach
@@ -27,7 +27,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skeinwork.llm.common import bounded_batches, written
 
@@ -41,6 +40,10 @@ LEAST_TEXTS = 4
 LEAST_RATIO = 28.0
 #: How many times as often toxic texts must have a term as clean ones.
 LEAST_LIFT = 6
+#: Training rows of one label whose sets of shingles of so many words are as similar as this are near copies.
+WIDTH, NEAR = 5, 0.8
+#: Least hashes of shingles that lead a row to a near copy, beside its first and last words.
+MINIMA = 8
 #: A longer term takes a shorter one's place if it is worth this much more and keeps this share of its toxic
 #: texts, or if it keeps nearly all of them.
 GAIN, KEEPS, ALIKE = 1.0, 0.5, 0.97
@@ -131,19 +134,34 @@ def _terms(text: str) -> set[str]:
     return found
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """The rows without confirmed near copies of a row with the same label and a lesser id."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (WIDTH - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, WIDTH)))
+    rows = written(rows.withColumn("words", words).withColumn("grams", F.array_distinct(grams)), "sampled")
+    ends = [F.slice("words", 1, 6), F.reverse(F.slice(F.reverse("words"), 1, 6))]
+    keys = [F.xxhash64(w) for w in ends] + [F.array_min(F.transform("grams", lambda g, k=k: F.xxhash64(F.lit(k), g))) for k in range(MINIMA)]
+    keyed = rows.select("doc_id", "toxic", F.posexplode(F.array(*keys)).alias("kind", "key"))
+    # Keys only lead to a row to compare with, the whole sets decide; both are bounded by the sample.
+    first = keyed.groupBy("kind", "key", "toxic").agg(F.min("doc_id").alias("other"))
+    pairs = keyed.join(F.broadcast(first), ["kind", "key", "toxic"]).filter("other < doc_id").select("doc_id", "other").distinct()
+    theirs = rows.select(F.col("doc_id").alias("other"), F.col("text").alias("__text"), F.col("grams").alias("__grams"))
+    both = pairs.join(rows.select("doc_id", "text", "grams"), "doc_id").join(theirs, "other")
+    common = F.size(F.array_intersect("grams", "__grams"))
+    near = common >= NEAR * (F.size("grams") + F.size("__grams") - common)
+    copies = both.filter((F.col("text") == F.col("__text")) | near).select("doc_id").distinct()
+    return rows.join(copies, "doc_id", "left_anti").select("doc_id", "text", "toxic")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text and toxic of the rows to learn from; near copies, as far as ends or a minimum give them away, once."""
+    """text and toxic of the rows to learn from, confirmed near copies once."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     chosen = known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # At most twice ``sample`` ids are broadcast, whatever the input.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     rows = text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    words = F.split("text", r"[\x20\x09-\x0D]+")
-    rows = rows.withColumn("head", F.xxhash64(F.slice(words, 1, 6))).withColumn("tail", F.xxhash64(F.reverse(F.slice(F.reverse(words), 1, 6))))
-    for key in ("head", "tail"):
-        rows = rows.withColumn("__first", F.min(F.struct("doc_id")).over(Window.partitionBy(key, "toxic"))).filter(F.col("doc_id") == F.col("__first.doc_id")).drop("__first")
-    return rows.select("doc_id", "text", "toxic")
+    return _distinct(rows)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:

@@ -205,6 +205,18 @@ def test_toxicity_held_out_disguises_and_edges(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
 
 
+def test_only_confirmed_near_copies_are_not_learnt_from(spark):
+    rng = random.Random(8)
+    head, foot = X.sentence(rng, 8), X.sentence(rng, 8)
+    docs = [(k, f"{head} {X.sentence(rng, 60)} {foot}") for k in range(20)]
+    long = X.sentence(rng, 100).split()
+    docs += [(50, docs[3][1]), (51, " ".join(long)), (52, " ".join(["other", *long[1:-1], "end"])), (53, docs[4][1])]
+    labels = [(k, 1, k % 2) for k in range(20)] + [(50, 1, 1), (51, 1, 0), (52, 1, 0), (53, 1, 1)]
+    rows = T.sampled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    # 50 is a copy of 3, 52 a near copy of 51; 53 is a copy of 4 with the other label.
+    assert sorted(r["doc_id"] for r in rows.collect()) == [*range(20), 51, 53]
+
+
 def test_exception_phrases_lift_hits_and_length_matters():
     lex = T.Lexicon({" fool ": 3.0, " idio": 4.0}, frozenset({" april fool "}), (-3.0, 0.5, 2.0))
     assert [round(w) for *_, w in lex.hits(T.folded("A FOOL and an 1di0t"))] == [3, 4]
