@@ -1,38 +1,48 @@
 """Benchmark decontamination: SimHash of item-sized windows, verified by exact weighted shingles.
 
-Words are runs of letters and digits of the lower-cased text; shingles are five words. A document's window
-of an item's size is fingerprinted if it has one of the benchmark's shingles within ``MOVES`` words of the
-place where the item has it. A window that would leave the document is moved to the document's end, and a document
-shorter than the item is one window, so an item cut off at an end is compared too. Fingerprints have 64 bits; the benchmark's are
-entered under every value within two bits of each of their seven blocks, so a lookup of a window's blocks
-finds all fingerprints within ``RADIUS`` bits. Candidates of the same size within the radius are then
-compared exactly: the letters in common shingles over the letters in all, at least ``THRESHOLD``.
-
-Only DataFrame functions are used. Documents are read in one pass without a shuffle; the benchmark's
-shingles are broadcast only if there are at most ``MOST_BROADCAST`` of them, else joined by a shuffle.
-
-Edges: null or empty texts, items and documents of under five words match nothing; repeated rows give the
-same matches once; a shorter document's window has its own number of words; rows of one id are judged each on its own text, and reported under the id; a null id
-is an id of its own; empty tables give an empty result; other columns are ignored.
+Words are runs of letters and digits of the lower-cased text; shingles are five words, and weigh their
+letters. A window has an item's number of words; a document shorter than the item is one window. Windows
+and items are fingerprinted alike: 128 bits, each the weighted majority of the distinct shingles' hashes.
+The benchmark's fingerprints are entered under every value within ``NEAR`` bits of each of their eight
+blocks, so a lookup of a window's blocks finds all fingerprints of its size within ``RADIUS`` bits (were
+each block off by ``NEAR + 1`` bits or more, the distance would be above ``RADIUS``). What is found is
+compared exactly: the weight of common shingles over the weight of all, at least ``THRESHOLD``.
+
+Windows that cannot match are not fingerprinted, and this loses none. A window of similarity t or more
+has shingles of at least t times the item's weight in common with it, so it cannot lack all of a set of
+the item's shingles that weighs more than the rest, 1 - t of the item. Such a set (``seeds``) is taken
+from every item, the shingles that the fewest items have first, and every window of the item's size that
+holds a seed, wherever in it, is fingerprinted.
+
+Only DataFrame functions are used. Documents are read without a shuffle of their texts, and each
+different text is looked at once, however many copies it has. What is broadcast has rows of a fixed
+width, and is broadcast only up to a size in bytes; beyond that a shuffle joins it.
+
+Edges: null or empty texts, items and documents of under five words match nothing; a text may be of any
+length, as counts have 32 bits; of windows that are equally similar the first is reported; rows of one id,
+or without one, are judged each on its own text and reported under the id; repeated rows give the same
+matches once; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from skeinwork.llm.common import written
+from skeinwork.llm.common import broadcast_if_small, written
 
 WIDTH = 5
 THRESHOLD = 0.8
-RADIUS = 20
-#: Sizes of the blocks that a fingerprint is cut into; seven with at most two wrong bits each cover 20.
-BLOCKS = (9, 9, 9, 9, 9, 9, 10)
-NEAR = RADIUS // len(BLOCKS)
-#: Words that a window may be moved from where a common shingle puts it.
-MOVES = 2
-MOST_BROADCAST = 4_000_000
-LANES = 0x0001000100010001
+#: Bits that fingerprints of a pair at the threshold differ in: 17 on average, above 31 once in two thousand pairs.
+RADIUS = 31
+#: Blocks of a fingerprint and their bits; eight with at most three wrong bits each cover the radius.
+BLOCKS, BLOCK_BITS = 8, 16
+NEAR = RADIUS // BLOCKS
+#: Two counts of 32 bits in a number.
+LANES = 0x0000000100000001
+#: A gram is a number: a shingle's hash without its last bits, and there its letters (a million and more count as a million).
+WEIGHT = (1 << 20) - 1
 
 
 def words(text: Column) -> Column:
@@ -46,117 +56,175 @@ def shingles(w: Column) -> Column:
 
 def letters(w: Column) -> Column:
     """The number of characters of every five words, in order."""
-    lengths = F.transform(w, F.length)
-    return F.transform(F.slice(lengths, 1, F.greatest(F.size(w) - (WIDTH - 1), F.lit(0))), lambda x, i: x + sum((F.get(lengths, i + k) for k in range(2, WIDTH)), F.get(lengths, i + 1)))
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (WIDTH - 1), F.lit(0))), lambda x, i: sum((F.length(F.get(w, i + k)) for k in range(1, WIDTH)), F.length(x)))
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes, which tell texts apart."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def fingerprinted(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the SimHash of the array ``grams`` (hash, size) to rows that ``keys`` tell apart.
+    """``keys`` and the fingerprint p1, p2 of the array ``grams`` of rows that ``keys`` tell apart.
 
-    The 64 counts of set bits are kept in 16 sums of four 16-bit lanes; a shingle counts as often as it occurs.
+    The 128 weights of set bits are kept in 64 sums of two lanes.
     """
-    lanes = [F.sum(F.shiftrightunsigned(F.col("g.hash"), g).bitwiseAND(F.lit(LANES))).alias(f"l{g}") for g in range(16)]
-    sums = rows.select(*keys, F.explode("grams").alias("g")).groupBy(*keys).agg(F.count("*").alias("n"), *lanes)
-    value = F.lit(0).cast("long")
-    for lane in range(4):
-        for g in range(16):
-            count = F.shiftrightunsigned(F.col(f"l{g}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (g + 16 * lane)
-            value = value.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(bit - (1 << 64) if bit >> 63 else bit)).otherwise(F.lit(0)).cast("long"))
-    return rows.join(sums.select(*keys, value.alias("print")), keys)
+    each = rows.select(*keys, F.explode("grams").alias("g")).select(*keys, F.xxhash64("g").alias("h1"), F.xxhash64(F.lit(1), "g").alias("h2"), _letters("g").alias("size"))
+    lanes = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)) * F.col("size")) for h in ("h1", "h2") for k in range(32)]
+    names = [f"__l{k}" for k in range(len(lanes))]
+    sums = each.groupBy(*keys).agg(F.sum("size").alias("__all"), *(x.alias(n) for x, n in zip(lanes, names, strict=True)))
+    held = sums.select(*keys, "__all", F.array(*names).alias("__lanes"))
+
+    def majority(first: int) -> Column:
+        def both(value: Column, k: Column) -> Column:
+            lane = F.get("__lanes", k + first)
+            for part, by in ((lane.bitwiseAND(F.lit(0xFFFFFFFF)), 0), (F.shiftrightunsigned(lane, 32), 32)):
+                value = value.bitwiseOR(F.when(2 * part > F.col("__all"), F.call_function("shiftleft", F.lit(1).cast("long"), (k + by).cast("int"))).otherwise(F.lit(0).cast("long")))
+            return value
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), both)
+
+    return held.select(*keys, majority(0).alias("p1"), majority(32).alias("p2"))
+
+
+def _blocks() -> list[tuple[int, Column]]:
+    each = 64 // BLOCK_BITS
+    return [(k, F.shiftrightunsigned(f"p{1 + k // each}", BLOCK_BITS * (k % each)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))) for k in range(BLOCKS)]
 
 
-def block_values(fingerprint: Column) -> Column:
-    out, at = [], 0
-    for k, bits in enumerate(BLOCKS):
-        out.append(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")))
-        at += bits
-    return F.array(*out)
+def block_values() -> Column:
+    """The blocks of the fingerprint p1, p2."""
+    return F.array(*(F.struct(F.lit(k).alias("block"), own.alias("value")) for k, own in _blocks()))
 
 
-def flips(bits: int) -> list[int]:
-    """Every change of at most ``NEAR`` of so many bits."""
-    return [0, *(1 << a for a in range(bits)), *(1 << a | 1 << b for a in range(bits) for b in range(a))]
+def flips(bits: int = BLOCK_BITS, near: int = NEAR) -> list[int]:
+    """Every change of at most ``near`` of so many bits."""
+    out = {0}
+    for _ in range(near):
+        out |= {x ^ (1 << b) for x in out for b in range(bits)}
+    return sorted(out)
 
 
-def near_block_values(fingerprint: Column) -> Column:
-    """All block values within ``NEAR`` bits of the fingerprint's own."""
+def near_block_values() -> Column:
+    """All block values within ``NEAR`` bits of those of the fingerprint p1, p2."""
+    changes = F.expr(f"array({', '.join(f'{x}L' for x in flips())})")
 
-    def around(k: int, own: Column, bits: int) -> Column:
-        return F.transform(F.array(*(F.lit(x).cast("long") for x in flips(bits))), lambda x: F.struct(F.lit(k).alias("block"), own.bitwiseXOR(x).alias("value")))
+    def around(k: int, own: Column) -> Column:
+        return F.transform(changes, lambda x: F.struct(F.lit(k).alias("block"), own.bitwiseXOR(x).alias("value")))
 
-    groups, at = [], 0
-    for k, bits in enumerate(BLOCKS):
-        groups.append(around(k, F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << bits) - 1)), bits))
-        at += bits
-    return F.concat(*groups)
+    return F.concat(*(around(k, own) for k, own in _blocks()))
+
+
+def distance(a1: str, a2: str, b1: str, b2: str) -> Column:
+    return F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2)))
+
+
+def _letters(gram: str | Column) -> Column:
+    return (F.col(gram) if isinstance(gram, str) else gram).bitwiseAND(F.lit(WEIGHT))
 
 
 def _weight(grams: Column) -> Column:
-    return F.aggregate(grams, F.lit(0).cast("long"), lambda total, g: total + g["size"])
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda total, g: total + _letters(g))
+
+
+def _name(hash: Column) -> Column:
+    return hash.bitwiseAND(F.lit(~WEIGHT))
+
+
+def _grams(w: Column) -> Column:
+    return F.zip_with(shingles(w), letters(w), lambda h, c: _name(h).bitwiseOR(F.least(c, F.lit(WEIGHT)).cast("long")))
+
+
+def seeds(items: DataFrame, threshold: float) -> DataFrame:
+    """name and n_words of shingles of which every window that matches an item has one."""
+    own = items.select("item", "n_words", F.explode("grams").alias("g"))
+    many = own.groupBy("g").agg(F.count("*").alias("many"))
+    # An item is one group of these windows; its shingles are its own words.
+    order = Window.partitionBy("item").orderBy("many", F.desc("size"), "g")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = own.join(many, "g").withColumn("size", _letters("g"))
+    ranked = ranked.select(_name(F.col("g")).alias("name"), "n_words", F.coalesce(before, F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy("item")).alias("all"))
+    return ranked.filter(F.col("before") <= (1 - threshold) * F.col("all") + 1e-6).select("name", "n_words").distinct()
+
+
+def windows_of(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """k1, k2, n_words and start of every window, of a size that items have, with a seed of an item of that size."""
+    split = texts.select("k1", "k2", words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH)
+    seen = split.select("k1", "k2", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"))).alias("pos", "hash"))
+    hits = seen.withColumn("name", _name(F.col("hash"))).join(seeds, "name").select("k1", "k2", "size", "n_words", "pos").distinct()
+    first = F.greatest(F.col("pos") - F.col("n_words") + WIDTH, F.lit(0))
+    last = F.least(F.col("pos"), F.greatest(F.col("size") - F.col("n_words"), F.lit(0)))
+    return hits.select("k1", "k2", "n_words", F.explode(F.sequence(first, last)).alias("start")).distinct()
+
+
+def candidates(prints: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Of fingerprints (n_words, p1, p2) the items of that size within the radius: n_words, p1, p2, item."""
+    # Copies of a passage have one fingerprint, which is looked up once.
+    looked = prints.select("n_words", "p1", "p2").distinct().select("n_words", "p1", "p2", F.explode(block_values()).alias("b")).select("n_words", "p1", "p2", "b.*")
+    entered = theirs.select("item", "n_words", F.col("p1").alias("i1"), F.col("p2").alias("i2"), F.explode(near_block_values()).alias("b")).select("item", "n_words", "i1", "i2", "b.*")
+    met = looked.join(entered, ["n_words", "block", "value"])
+    return met.filter(distance("p1", "p2", "i1", "i2") <= RADIUS).select("n_words", "p1", "p2", "item").distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """For each different text (k1, k2) of ``docs`` and each item that it holds, the most similar window."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH).distinct()
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("w").alias("n_words"), F.array_distinct(_grams(F.col("w"))).alias("grams"))
+    items = written(items, "items")
+    k1, k2 = text_key(F.col("text"))
+    texts = docs.select(F.col("text").cast("string").alias("text")).select(k1.alias("k1"), k2.alias("k2"), "text")
+    windows = written(windows_of(texts, broadcast_if_small(written(seeds(items, threshold), "seeds"), 16)), "windows")
+    held = broadcast_if_small(windows.select("k1", "k2").distinct(), 16)
+    whole = texts.join(held, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    # Words are written before they are used: an expression that is repeated for every shingle must be a column.
+    whole = written(whole.select("k1", "k2", words(F.col("text")).alias("w")), "words")
+    whole = written(whole.select("k1", "k2", F.size("w").alias("size"), _grams(F.col("w")).alias("all")), "whole")
+    part = F.array_distinct(F.slice("all", F.col("start") + 1, F.col("n_words") - (WIDTH - 1)))
+    # Few bytes stand for much work here, so the number of partitions is given.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = windows.repartition(partitions, "k1", "k2").join(whole, ["k1", "k2"]).select("k1", "k2", "n_words", "start", part.alias("grams"))
+    prints = written(fingerprinted(cut, ["k1", "k2", "n_words", "start"]), "prints")
+    theirs = written(fingerprinted(items, ["item", "n_words"]), "items")
+    near = prints.join(candidates(prints, theirs), ["n_words", "p1", "p2"]).select("k1", "k2", "n_words", "start", "item")
+    # The shingles come back for what is within the radius; ``own`` is the window's number of words, less only in a shorter document.
+    pairs = near.repartition(partitions, "k1", "k2").join(whole, ["k1", "k2"]).join(items.select("item", "item_id", F.col("grams").alias("theirs")), "item")
+    pairs = pairs.select("k1", "k2", "item_id", "start", F.least("n_words", "size").alias("own"), part.alias("grams"), "theirs")
+    common = _weight(F.array_intersect("grams", "theirs"))
+    exact = pairs.select("k1", "k2", "item_id", "start", "own", common.alias("common"), (_weight(F.col("grams")) + _weight(F.col("theirs"))).alias("both"))
+    exact = exact.withColumn("similarity", F.col("common") / (F.col("both") - F.col("common"))).filter(F.col("similarity") >= threshold)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "own")).alias("best")
+    return written(exact.groupBy("k1", "k2", "item_id").agg(best), "matches")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start (the window's first word, from 0), n_words and similarity: the best window of each pair."""
-    spark = docs.sparkSession
-    gram = F.zip_with("h", "c", lambda h, c: F.struct(h.alias("hash"), c.cast("long").alias("size")))
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH)
-    items = items.select("item_id", F.size("w").alias("n_words"), shingles(F.col("w")).alias("h"), letters(F.col("w")).alias("c")).distinct()
-    items = written(items.select("item_id", "n_words", gram.alias("grams")), "items")
-    places = items.select("n_words", F.posexplode("grams").alias("offset", "g")).select(F.col("g.hash").alias("hash"), "n_words", "offset").distinct()
-    places = written(places, "places")
-    small = places.count() <= MOST_BROADCAST
-    key = F.xxhash64("doc_id", "text").alias("key")
-    read = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    split = read.select(key, words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH)
-    seen = split.select("key", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"))).alias("pos", "hash"))
-    found = seen.join(F.broadcast(places) if small else places, "hash").select("key", "size", "n_words", (F.col("pos") - F.col("offset")).alias("at")).distinct()
-    moved = found.select("key", "size", "n_words", F.explode(F.sequence(F.col("at") - MOVES, F.col("at") + MOVES)).alias("start"))
-    last = F.greatest(F.col("size") - F.col("n_words"), F.lit(0))
-    windows = moved.select("key", "n_words", F.greatest(F.least("start", last), F.lit(0)).alias("start")).distinct()
-    windows = written(windows, "windows")
-    found = windows.select("key").distinct()
-    whole = read.select("doc_id", key, "text").join(F.broadcast(found) if found.count() <= MOST_BROADCAST // 8 else found, "key", "left_semi").select("doc_id", "key", words(F.col("text")).alias("w"))
-    part = F.slice("w", F.col("start") + 1, F.col("n_words"))
-    cut = windows.join(whole.dropDuplicates(["key"]), "key").select("doc_id", "key", "start", "n_words", part.alias("w"))
-    # ``n_words`` is the item's size, ``own`` the window's: less only if the document is shorter than the item.
-    cut = cut.select("doc_id", "key", "start", "n_words", F.size("w").alias("own"), shingles(F.col("w")).alias("h"), letters(F.col("w")).alias("c"))
-    cut = written(cut.select("doc_id", "key", "start", "n_words", "own", gram.alias("grams")), "windows")
-    mine = fingerprinted(cut, ["key", "start", "n_words"])
-    theirs = written(fingerprinted(items, ["item_id", "n_words"]), "items")
-    # The lookup carries fingerprints only; the shingles come back for the few pairs within the radius.
-    looked = mine.select("key", "start", "n_words", "print", F.explode(block_values(F.col("print"))).alias("b")).select("key", "start", "n_words", "print", "b.*")
-    entered = theirs.select("item_id", "n_words", F.col("print").alias("item_print"), F.explode(near_block_values(F.col("print"))).alias("b")).select("item_id", "n_words", "item_print", "b.*")
-    near = looked.join(entered, ["n_words", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("key", "start", "n_words", "item_id").distinct()
-    pairs = near.join(cut, ["key", "start", "n_words"]).join(theirs.select("item_id", "n_words", F.col("grams").alias("item_grams")), ["item_id", "n_words"])
-    a, b = F.array_distinct("grams"), F.array_distinct("item_grams")
-    common = _weight(F.array_intersect(a, b))
-    exact = pairs.select("doc_id", "item_id", "start", "own", common.alias("common"), (_weight(a) + _weight(b)).alias("both"))
-    exact = exact.withColumn("similarity", F.col("common") / (F.col("both") - F.col("common"))).filter(F.col("similarity") >= threshold)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "own")).alias("best"))
+    found = matches(docs, benchmark, threshold)
+    k1, k2 = text_key(F.col("text"))
+    named = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(broadcast_if_small(found, 64), ["k1", "k2"])
+    best = named.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.own").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without a match, with all their columns."""
-    gone = contaminated(docs.select("doc_id", "text"), benchmark, threshold).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` whose text has no match, with all their columns."""
+    gone = matches(docs.select("text"), benchmark, threshold).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = text_key(docs["text"])
+    return docs.join(broadcast_if_small(gone, 16), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 ORACLE_SQL = r"""
 WITH bw AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
 dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
-bs AS (SELECT item_id, len(w) AS n_words, unnest(range(0, len(w) - 4)) AS o, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM bw WHERE len(w) >= 5),
+bs AS (SELECT DISTINCT item_id, len(w) AS n_words, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM bw WHERE len(w) >= 5),
 ds AS (SELECT doc_id, len(w) AS size, unnest(range(0, len(w) - 4)) AS p, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM dw WHERE len(w) >= 5),
-win AS (SELECT DISTINCT doc_id, p - o + m AS s, item_id, n_words FROM ds JOIN bs ON ds.g = bs.g, (SELECT unnest(range(-2, 3)) AS m) WHERE p - o + m >= 0 AND p - o + m + n_words <= size),
-wg AS (SELECT DISTINCT win.doc_id, win.s, win.item_id, ds.g FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.s AND ds.p <= win.s + win.n_words - 5),
-ig AS (SELECT DISTINCT item_id, g FROM bs),
-wt AS (SELECT doc_id, s, item_id, sum(length(g) - 4) AS t FROM wg GROUP BY ALL),
-it AS (SELECT item_id, sum(length(g) - 4) AS t FROM ig GROUP BY ALL),
-co AS (SELECT wg.doc_id, wg.s, wg.item_id, sum(length(wg.g) - 4) AS c FROM wg JOIN ig ON wg.item_id = ig.item_id AND wg.g = ig.g GROUP BY ALL),
-sim AS (SELECT co.doc_id, co.item_id, co.s, c::DOUBLE / (wt.t + it.t - c)::DOUBLE AS similarity FROM co JOIN wt ON co.doc_id = wt.doc_id AND co.s = wt.s AND co.item_id = wt.item_id JOIN it ON it.item_id = co.item_id),
+hit AS (SELECT DISTINCT doc_id, size, p, item_id, n_words FROM ds JOIN bs ON ds.g = bs.g),
+win AS (SELECT DISTINCT doc_id, item_id, n_words, least(n_words, size) AS own, unnest(range(greatest(p - n_words + 5, 0), least(p, greatest(size - n_words, 0)) + 1)) AS s FROM hit),
+wg AS (SELECT DISTINCT win.doc_id, win.s, win.item_id, win.own, ds.g FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.s AND ds.p <= win.s + win.n_words - 5),
+wt AS (SELECT doc_id, s, item_id, own, sum(length(g) - 4) AS t FROM wg GROUP BY ALL),
+it AS (SELECT item_id, sum(length(g) - 4) AS t FROM bs GROUP BY ALL),
+co AS (SELECT wg.doc_id, wg.s, wg.item_id, sum(length(wg.g) - 4) AS c FROM wg JOIN bs ON wg.item_id = bs.item_id AND wg.g = bs.g GROUP BY ALL),
+sim AS (SELECT co.doc_id, co.item_id, co.s, own, c::DOUBLE / (wt.t + it.t - c)::DOUBLE AS similarity FROM co JOIN wt ON co.doc_id = wt.doc_id AND co.s = wt.s AND co.item_id = wt.item_id JOIN it ON it.item_id = co.item_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM sim WHERE similarity >= 0.8)
-SELECT best.doc_id, best.item_id, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, similarity
-FROM best JOIN (SELECT DISTINCT item_id, n_words AS n FROM bs) x ON x.item_id = best.item_id WHERE r = 1
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, CAST(own AS BIGINT) AS n_words, similarity FROM best WHERE r = 1
 """
