@@ -1,38 +1,49 @@
 """URL filtering: explicit rules first, then a tree of path templates for each host.
 
-A path becomes a template: segments that vary by their shape (digits, long or hexadecimal names) are
-generalised, then, level by level, the children of a node become one wildcard if there are many of them
-and few pages to each, and sibling branches that are statistically alike are merged: the same shares of
-what lies below (in tenths) and the same evidence from labels. A template whose labelled pages are bad
-with a smoothed purity of at least ``REJECT`` is rejected, and so are its unlabelled pages.
-
-Labels are a 0/1 column or, by default, what the rules say of the pages that they fit.
+A path becomes a template. Segments that vary by their shape (digits, long or hexadecimal names) are
+generalised at once. Then, from the deepest level up, two things happen to the children of every node:
+
+- If there are more than ``MOST_CHILDREN`` of them and fewer than ``FEW_PAGES`` pages to each, or more than
+  ``VARIABLE`` of them, they become one wildcard ``*``. Where labels contradict each other, children with the
+  lesser verdict become another, ``*~``.
+- Branches that are statistically alike are merged. What lies below a branch is a distribution of its pages
+  over the templates there. Among siblings with the same commonest template each branch is held against the
+  rest of them by a chi-square test of homogeneity on the counts; those that do not differ at the level
+  ``CRITICAL`` are one branch from then on. Labels take no part, but that branches whose own labels say bad
+  and good beyond doubt are never merged, nor with those that have no say. A page's last segment has nothing
+  below it and is no branch.
+
+The labels of all pages of a merged template are added: a template whose labelled pages are bad with a
+smoothed purity of at least ``REJECT`` is rejected, and so are its unlabelled pages. Labels are a 0/1 column
+or, by default, what the rules say of the pages that they fit.
 
 Only DataFrame functions are used. A host with a third of all pages is summed before the shuffles, and
-its pages meet their template in a join that Spark can split.
+its pages meet their template in a join that Spark can split; siblings are compared with the sum of their
+group, never with each other.
 
 Edges: a null url, or one without ``://``, has an empty host and path; it fits no rule and is judged like any
-other template, so without labels it is allowed. Repeated rows are judged alike; an empty table gives an
-empty result; other columns are ignored.
+other template, so without labels it is allowed. Paths may be of any depth and length. Of templates that are
+equally common the first by name counts. Repeated rows are judged alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import written
 
-#: Segments that a template tells apart; what lies deeper is one more segment.
-LEVELS = 4
-#: A node's children are one wildcard beyond this many, if they have fewer pages each than that.
+#: A node's children are one wildcard beyond this many, if they have fewer pages each than that ...
 MOST_CHILDREN, FEW_PAGES = 30, 5
+#: ... and beyond this many in any case.
+VARIABLE = 1000
+#: The normal deviate that a test of homogeneity allows: one alike branch in a hundred is taken for another.
+CRITICAL = 2.326
 #: A purity counts STRENGTH labels of even odds beside the real ones.
 STRENGTH, REJECT = 4.0, 0.8
-DEEPER = "{deeper}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,55 +66,68 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def shaped(path: Column) -> list[Column]:
-    """A column for each level: the segment with what varies by shape replaced; empty beyond the last."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    out = []
-    for k in range(LEVELS):
-        s = F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
-        s = F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{hex}").when(F.length(s) > 40, "{long}").otherwise(F.regexp_replace(s, r"[0-9]+", "#"))
-        out.append(s)
-    out.append(F.when(F.size(parts) > LEVELS, DEEPER).otherwise(""))
-    return out
+def shaped(path: Column) -> Column:
+    """The segments of a path, those that vary by their shape replaced."""
 
+    def shape(s: Column) -> Column:
+        return F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{hex}").when(F.length(s) > 40, "{long}").otherwise(F.regexp_replace(s, r"[0-9]+", "#"))
 
-S = [f"s{k}" for k in range(LEVELS + 1)]
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
 
 
-def _label_class(labelled: Column, bad: Column) -> Column:
+def _says(labelled: Column, bad: Column) -> Column:
     purity = (bad + STRENGTH / 2) / (labelled + STRENGTH)
-    return F.when(labelled == 0, "none").when(purity >= REJECT, "bad").when(purity <= 1 - REJECT, "good").otherwise("mixed")
-
-
-def _levels(tree: DataFrame) -> DataFrame:
-    """Generalise and merge, from the host down. Rows keep their ``shape``, so pages can find them."""
-    for k in range(LEVELS):
-        node, name, below = ["host", *S[:k]], S[k], S[k + 1 :]
-        inner = tree.filter(F.col(name) != "")
-        children = inner.groupBy(*node, name).agg(F.sum("n").alias("n"))
-        wild = children.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("all")).filter(f"kids > {MOST_CHILDREN} AND all < {FEW_PAGES} * kids").select(*node, F.lit(True).alias("wild"))
-        tree = written(
-            tree.join(wild, node, "left").withColumn(name, F.when(F.col("wild") & (F.col(name) != ""), "*").otherwise(F.col(name))).drop("wild"),
-            "tree",
-        )
-        inner = tree.filter(F.col(name) != "")
-        branch = inner.groupBy(*node, name).agg(F.sum("n").alias("all"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        under = inner.groupBy(*node, name, F.concat_ws("/", *below).alias("under")).agg(F.sum("n").alias("n"))
-        share = F.round(F.col("n") / F.col("all"), 1)
-        # At most ten kinds have a tenth, so what is gathered for a branch is bounded.
-        profile = (
-            under.join(branch, [*node, name])
-            .filter(share >= 0.1)
-            .groupBy(*node, name)
-            .agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "under", share.cast("string")))), ";").alias("profile"))
-        )
-        kinds = branch.join(profile, [*node, name], "left").withColumn("kind", F.concat_ws("|", _label_class(F.col("labelled"), F.col("bad")), "profile"))
-        named = kinds.groupBy(*node, "kind").agg(F.min(name).alias("least"), F.count("*").alias("many"))
-        merged = kinds.join(named, [*node, "kind"]).select(
-            *node, name, F.when(F.col("many") > 1, F.concat("least", F.lit("+"), (F.col("many") - 1).cast("string"))).otherwise(F.col(name)).alias("merged")
-        )
-        tree = written(tree.join(merged, [*node, name], "left").withColumn(name, F.coalesce("merged", name)).drop("merged"), "tree")
-    return tree
+    return F.when(purity >= REJECT, "bad").when(purity <= 1 - REJECT, "good").otherwise("none")
+
+
+def _decided(branches: DataFrame, group: list[str]) -> DataFrame:
+    """Add ``side``: empty if labels in the group do not contradict each other, else what the branch's own say."""
+    sides = branches.groupBy(*group).agg((F.max(F.col("says") == "bad") & F.max(F.col("says") == "good")).alias("mixed"))
+    return branches.join(sides, group).withColumn("side", F.when(F.col("mixed"), F.col("says")).otherwise("")).drop("mixed")
+
+
+def _level(tree: DataFrame, k: int) -> DataFrame:
+    """Generalise and merge the ``k``-th segments, whose lower ones are done.
+
+    ``tree`` has host, shape (the segments of a path), up (its first segments, as they are), down (the
+    template of the rest) and the counts; a row moves its last ``up`` segment to the front of ``down``.
+    """
+    due = tree.filter(F.size("up") == k + 1).withColumns({"node": F.slice("up", 1, k), "name": F.element_at("up", k + 1)})
+    branch = due.groupBy("host", "node", "name").agg(F.sum("n").alias("all"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("says", _says(F.col("labelled"), F.col("bad")))
+    branch = written(branch, "branches")
+    # Wildcards.
+    kids = branch.groupBy("host", "node").agg(F.count("*").alias("kids"), F.sum("all").alias("pages"), F.sum(F.when(F.col("says") == "bad", F.col("labelled")).otherwise(0)).alias("b"), F.sum(F.when(F.col("says") == "good", F.col("labelled")).otherwise(0)).alias("g"))
+    wild = kids.filter(f"kids > {VARIABLE} OR kids > {MOST_CHILDREN} AND pages < {FEW_PAGES} * kids").select("host", "node", F.when(F.col("b") > F.col("g"), "good").otherwise("bad").alias("lesser"))
+    starred = branch.join(wild, ["host", "node"]).select("host", "node", "name", F.when(F.col("says") == F.col("lesser"), "*~").otherwise("*").alias("merged"))
+    # Branches that are alike.
+    rest = branch.join(wild, ["host", "node"], "left_anti")
+    under = due.join(rest.select("host", "node", "name"), ["host", "node", "name"]).groupBy("host", "node", "name", "down").agg(F.sum("n").alias("c"))
+    mode = under.groupBy("host", "node", "name").agg(F.min(F.struct((-F.col("c")).alias("c"), "down")).alias("m"), F.max(F.col("down") != "").alias("inner")).filter("inner").select("host", "node", "name", F.col("m.down").alias("mode"))
+    group = ["host", "node", "mode", "side"]
+    inner = _decided(rest.join(mode, ["host", "node", "name"]), ["host", "node", "mode"]).select(*group, "name", "all")
+    inner = written(inner, "branches")
+    parts = under.join(inner, ["host", "node", "name"])
+    kinds = parts.groupBy(*group, "down").agg(F.sum("c").alias("t"))
+    groups = inner.groupBy(*group).agg(F.sum("all").alias("total")).join(kinds.groupBy(*group).agg((F.count("*") - 1).alias("free")), group)
+    # Pearson's statistic of a branch against the rest of its group; kinds that the branch lacks come in by their sum.
+    share = F.col("all") / F.col("total")
+    expected = F.col("t") * share
+    terms = parts.join(kinds, [*group, "down"]).join(groups.select(*group, "total"), group)
+    terms = terms.groupBy(*group, "name", "all", "total").agg(F.sum((F.col("c") - expected) * (F.col("c") - expected) / expected).alias("there"), F.sum("t").alias("t"))
+    statistic = (F.col("there") + (F.col("total") - F.col("t")) * share) / (1 - share)
+    tested = terms.join(groups.select(*group, "free"), group)
+    # Wilson's and Hilferty's bound of chi-square.
+    part = 2.0 / (9.0 * F.col("free"))
+    bound = F.col("free") * F.pow(1 - part + CRITICAL * F.sqrt(part), F.lit(3.0))
+    alike = tested.filter((F.col("all") == F.col("total")) | (F.col("free") == 0) | (F.round(statistic, 6) <= F.round(bound, 6)))
+    named = alike.groupBy(*group).agg(F.min("name").alias("least"), F.count("*").alias("many")).filter("many > 1")
+    joined = alike.join(named, group).select("host", "node", "name", F.concat("least", F.lit("+"), (F.col("many") - 1).cast("string"), F.when(F.col("side") == "", "").otherwise(F.concat(F.lit("~"), "side"))).alias("merged"))
+    merged = written(starred.unionByName(joined), "merged")
+    top = F.coalesce("merged", "name")
+    done = due.join(merged, ["host", "node", "name"], "left").select(
+        "host", "shape", F.col("node").alias("up"), F.when(F.col("down") == "", top).otherwise(F.concat_ws("/", top, "down")).alias("down"), "n", "labelled", "bad"
+    )
+    return written(tree.filter(F.size("up") <= k).unionByName(done), "tree")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], label: Column | None = None) -> DataFrame:
@@ -118,20 +142,22 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], label: Colum
     known = known.select("*", rule.alias("rule"), said.alias("said"))
     if label is None:
         known = known.withColumn("label", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
-    levels = shaped(F.col("path"))
-    known = known.select("*", *(c.alias(n) for c, n in zip(levels, S, strict=True))).withColumn("shape", F.concat_ws("/", *S))
-    tree = written(
-        known.groupBy("host", "shape", *S).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")),
-        "tree",
-    )
-    tree = _levels(tree)
-    template = F.concat(F.lit("/"), reduce(lambda a, b: F.when(b == "", a).otherwise(F.concat_ws("/", a, b)), [F.col(s) for s in S[1:]], F.col(S[0])))
-    pure = tree.groupBy("host", *S).agg(((F.sum("bad") + STRENGTH / 2) / (F.sum("labelled") + STRENGTH)).alias("purity"))
-    judged = tree.join(pure, ["host", *S]).select("host", "shape", template.alias("template"), "purity")
+    known = known.withColumn("shape", shaped(F.col("path")))
+    tree = known.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    tree = written(tree.select("host", "shape", F.col("shape").alias("up"), F.lit("").alias("down"), "n", "labelled", "bad"), "tree")
+    deepest = tree.agg(F.max(F.size("up"))).first()[0] or 0
+    for k in reversed(range(deepest)):
+        tree = _level(tree, k)
+    pure = tree.groupBy("host", "down").agg(((F.sum("bad") + STRENGTH / 2) / (F.sum("labelled") + STRENGTH)).alias("purity"))
+    judged = tree.join(pure, ["host", "down"]).select("host", "shape", F.concat(F.lit("/"), "down").alias("template"), "purity")
     out = known.select("page_id", "host", "path", "rule", "said", "shape").join(judged, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
+#: Levels that the SQL writes out; paths of the test tables are not deeper.
+SQL_LEVELS = 4
+
+
 def oracle_sql(rules: Sequence[tuple[str, str]]) -> str:
     """DuckDB SQL for the result of ``filter_urls`` on ``pages`` with these rules and their verdicts as labels."""
 
@@ -139,42 +165,47 @@ def oracle_sql(rules: Sequence[tuple[str, str]]) -> str:
         own, slash, below = text.partition("/")
         return f"((host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash + below}'))"
 
+    def says(of: str) -> str:
+        purity = f"(bad + {STRENGTH / 2}::DOUBLE) / (labelled + {STRENGTH}::DOUBLE)"
+        return f"(SELECT *, CASE WHEN {purity} >= {REJECT}::DOUBLE THEN 'bad' WHEN {purity} <= {1 - REJECT}::DOUBLE THEN 'good' ELSE 'none' END AS says FROM {of})"
+
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in ordered) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in ordered) + " END"
-    shape = "CASE WHEN regexp_full_match({0}, '[0-9a-fA-F-]{{16,}}') THEN '{{hex}}' WHEN length({0}) > 40 THEN '{{long}}' ELSE regexp_replace({0}, '[0-9]+', '#', 'g') END"
-    levels = ", ".join(shape.format(f"coalesce(parts[{k + 1}], '')") + f" AS s{k}" for k in range(LEVELS))
-    every, purity = ", ".join(S), f"(sum(bad) + {STRENGTH / 2}::DOUBLE) / (sum(labelled) + {STRENGTH}::DOUBLE)"
+    shape = "CASE WHEN regexp_full_match(s, '[0-9a-fA-F-]{16,}') THEN '{hex}' WHEN length(s) > 40 THEN '{long}' ELSE regexp_replace(s, '[0-9]+', '#', 'g') END"
     steps = [
         "r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
-        f"""h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)""",
-        f"k AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM h)",
-        f"l AS (SELECT * EXCLUDE (parts), {levels}, CASE WHEN len(parts) > {LEVELS} THEN '{DEEPER}' ELSE '' END AS s{LEVELS} FROM k)",
-        f"t AS (SELECT host, {every}, concat_ws('/', {every}) AS shape, count(*) AS n, count(said) AS labelled, count(*) FILTER (said = 'block') AS bad FROM l GROUP BY ALL)",
+        f"h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)",
+        f"l AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said, [{shape} FOR s IN string_split(path, '/') IF s <> ''] AS shape FROM h)",
+        f"t{SQL_LEVELS} AS (SELECT host, shape, shape AS up, '' AS down, count(*) AS n, count(said) AS labelled, count(*) FILTER (said = 'block') AS bad FROM l GROUP BY host, shape)",
     ]
-    now = "t"
-    for k in range(LEVELS):
-        node, name = ", ".join(["host", *S[:k]]), S[k]
-        both = ", ".join(["host", *S[: k + 1]])
-        under = ", ".join(S[k + 1 :])
+    for k in reversed(range(SQL_LEVELS)):
         steps += [
-            f"""w{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN wild THEN '*' ELSE {name} END AS {name}) FROM (SELECT x.*, coalesce(y.wild, FALSE) AND x.{name} <> '' AS wild FROM {now} x LEFT JOIN (
-              SELECT {node}, count(DISTINCT {name}) > {MOST_CHILDREN} AND sum(n) < {FEW_PAGES} * count(DISTINCT {name}) AS wild FROM {now} WHERE {name} <> '' GROUP BY {node}) y USING ({node})))""",
-            f"b{k} AS (SELECT {both}, sum(n) AS total, sum(labelled) AS labelled, sum(bad) AS bad FROM w{k} WHERE {name} <> '' GROUP BY ALL)",
-            f"u{k} AS (SELECT {both}, concat_ws('/', {under}) AS under, sum(n) AS n FROM w{k} WHERE {name} <> '' GROUP BY ALL)",
-            f"""f{k} AS (SELECT {both}, list_sort(list((under, round(n / total, 1)))) AS profile FROM u{k} JOIN b{k} USING ({both}) WHERE round(n / total, 1) >= 0.1 GROUP BY ALL)""",
-            f"""c{k} AS (SELECT b{k}.*, profile, CASE WHEN labelled = 0 THEN 'none' WHEN (bad + {STRENGTH / 2}::DOUBLE) / (labelled + {STRENGTH}::DOUBLE) >= {REJECT}::DOUBLE THEN 'bad'
-              WHEN (bad + {STRENGTH / 2}::DOUBLE) / (labelled + {STRENGTH}::DOUBLE) <= {1 - REJECT}::DOUBLE THEN 'good' ELSE 'mixed' END AS class FROM b{k} LEFT JOIN f{k} USING ({both}))""",
-            f"g{k} AS (SELECT {both}, CASE WHEN count(*) OVER kind > 1 THEN min({name}) OVER kind || '+' || (count(*) OVER kind - 1) ELSE {name} END AS merged FROM c{k} WINDOW kind AS (PARTITION BY {node}, profile, class))",
-            f"m{k} AS MATERIALIZED (SELECT w{k}.* EXCLUDE (wild) REPLACE (coalesce(merged, w{k}.{name}) AS {name}) FROM w{k} LEFT JOIN g{k} USING ({both}))",
+            f"d{k} AS MATERIALIZED (SELECT *, up[1:{k}] AS node, up[{k + 1}] AS name FROM t{k + 1} WHERE len(up) = {k + 1})",
+            f"b{k} AS MATERIALIZED (SELECT * FROM {says(f'(SELECT host, node, name, sum(n) AS total, sum(labelled) AS labelled, sum(bad) AS bad FROM d{k} GROUP BY ALL)')})",
+            f"""w{k} AS (SELECT host, node, CASE WHEN sum(labelled) FILTER (says = 'bad') > coalesce(sum(labelled) FILTER (says = 'good'), 0) THEN 'good' ELSE 'bad' END AS lesser FROM b{k} GROUP BY host, node
+              HAVING count(*) > {VARIABLE} OR count(*) > {MOST_CHILDREN} AND sum(total) < {FEW_PAGES} * count(*))""",
+            f"u{k} AS MATERIALIZED (SELECT host, node, name, down, sum(n) AS c FROM d{k} ANTI JOIN w{k} USING (host, node) GROUP BY ALL)",
+            f"o{k} AS (SELECT host, node, name, first(down ORDER BY c DESC, down) AS mode FROM u{k} GROUP BY ALL HAVING bool_or(down <> ''))",
+            f"""i{k} AS MATERIALIZED (SELECT host, node, name, mode, total, CASE WHEN bool_or(says = 'bad') OVER g AND bool_or(says = 'good') OVER g THEN says ELSE '' END AS side
+              FROM b{k} JOIN o{k} USING (host, node, name) WINDOW g AS (PARTITION BY host, node, mode))""",
+            f"p{k} AS (SELECT *, sum(c) OVER (PARTITION BY host, node, mode, side, down) AS t FROM u{k} JOIN i{k} USING (host, node, name))",
+            f"g{k} AS (SELECT host, node, mode, side, sum(c) AS every, count(DISTINCT down) - 1 AS free FROM p{k} GROUP BY ALL)",
+            f"""x{k} AS (SELECT host, node, mode, side, name, total, every, free, sum((c - t * (total / every)) * (c - t * (total / every)) / (t * (total / every))) AS there, sum(t) AS seen
+              FROM p{k} JOIN g{k} USING (host, node, mode, side) GROUP BY ALL)""",
+            f"""a{k} AS (SELECT * FROM x{k} WHERE CASE WHEN total = every OR free = 0 THEN TRUE
+              ELSE round((there + (every - seen) * (total / every)) / (1 - total / every), 6) <= round(free * pow(1 - 2.0 / (9.0 * free) + {CRITICAL} * sqrt(2.0 / (9.0 * free)), 3), 6) END)""",
+            f"""m{k} AS MATERIALIZED (SELECT host, node, name, min(name) OVER g || '+' || (count(*) OVER g - 1) || CASE WHEN side = '' THEN '' ELSE '~' || side END AS merged FROM a{k}
+              WINDOW g AS (PARTITION BY host, node, mode, side) QUALIFY count(*) OVER g > 1
+              UNION ALL SELECT host, node, name, CASE WHEN says = lesser THEN '*~' ELSE '*' END FROM b{k} JOIN w{k} USING (host, node))""",
+            f"""t{k} AS MATERIALIZED (SELECT host, shape, up, down, n, labelled, bad FROM t{k + 1} WHERE len(up) <= {k} UNION ALL
+              SELECT host, shape, node, coalesce(merged, name) || CASE WHEN down = '' THEN '' ELSE '/' || down END, n, labelled, bad FROM d{k} LEFT JOIN m{k} USING (host, node, name))""",
         ]
-        now = f"m{k}"
-    template = "'/' || concat_ws('/', " + ", ".join([S[0], *(f"nullif({s}, '')" for s in S[1:])]) + ")"
     steps += [
-        f"p AS (SELECT host, {every}, {purity} AS purity FROM {now} GROUP BY ALL)",
-        f"j AS (SELECT host, shape, {template} AS template, purity FROM {now} JOIN p USING (host, {every}))",
+        f"z AS (SELECT host, down, (sum(bad) + {STRENGTH / 2}::DOUBLE) / (sum(labelled) + {STRENGTH}::DOUBLE) AS purity FROM t0 GROUP BY ALL)",
+        "j AS (SELECT host, shape, '/' || down AS template, purity FROM t0 JOIN z USING (host, down))",
     ]
     return (
-        "WITH " + ",\n".join(steps) + f"\nSELECT page_id, l.host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, template, purity "
-        f"FROM (SELECT *, concat_ws('/', {every}) AS shape FROM l) l LEFT JOIN j ON j.host = l.host AND j.shape = l.shape"
+        "WITH " + ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, template, purity "
+        "FROM l LEFT JOIN j USING (host, shape)"
     )
