@@ -2,7 +2,8 @@
 
 A document's set is its distinct five-word shingles (of the text with A-Z lower-cased); with fewer words
 the whole sequence is the one shingle, without words the set is empty. Documents with the same word
-sequence form a class, and the class's least id stands for it from then on. Each class gets ``HASHES``
+sequence form a class, known by a hash of 128 bits and numbered when the classes are written; ids come back
+at the very end. Each class gets ``HASHES``
 minima: bands of full minima give candidate buckets, the low ``KEPT_BITS`` bits of every minimum are
 packed into a signature, and the similarity of two candidates is estimated from the count of equal
 groups of bits, corrected for chance collisions. Whatever could reach the threshold is confirmed on the
@@ -10,13 +11,17 @@ full sets.
 
 Buckets are never expanded into all their pairs. First every member is compared with four members of its
 bucket; confirmed links make components. Only the members of buckets that still hold more than one
-component get a longer signature, and are joined within their buckets; of a pair in several buckets only
-one, and only pairs of different components whose longer estimate is high enough, leave the join. Any
-pair that is skipped is joined already, so components are exact but for the chance that no band or an
-estimate outside its margin misses a link: below 1e-5 for a pair at the threshold.
-
-Edges: null or blank texts link with nothing; repeated rows and copies are one class; rows with a null id
-have a null component and are kept; an empty table gives an empty result; other columns are ignored.
+component are looked at again, all of them together and by an exact way: a pair that reaches the threshold
+shares one of the first shingles of each, in any fixed order, that are too many to be missed (of n shingles
+``n - ceil(percent * n / 100) + 1``). The rarest come first, so what many texts have in common brings
+none of them together. Those that share such a shingle are estimated, and what could reach the threshold is
+confirmed; a shingle that very many have is dealt out in blocks. Any pair that is skipped is joined already,
+so components are exact but for the chance that no band or an estimate outside its margin misses a link:
+below 1e-5 for a pair at the threshold.
+
+Edges: null or blank texts link with nothing; a text may be of any length; repeated rows and copies are one
+class; an id that comes with several texts is judged text by text, and each of these may link; rows with a null
+id have a null component and are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwork.llm.common import bounded_batches, written
+from skeinwork.llm.common import bounded_batches, broadcast_if_small, written
 from skeinwork.llm.components import components
 
 WIDTH = 5
 HASHES = 252
 KEPT_BITS = 4
 LONGS = 16
-#: The longer signature: more minima, of fewer bits each.
-FINE_HASHES, FINE_BITS = 1024, 2
-FINE_LONGS = FINE_HASHES * FINE_BITS // 64
-#: How far below the threshold an estimate may lie: about 4.5 standard deviations of each signature.
-MARGIN, FINE_MARGIN = 0.105, 0.065
+#: How far below the threshold an estimate may lie: about 4.5 standard deviations.
+MARGIN = 0.105
+#: Members of a shingle's group that one task compares with as many others.
+GROUP = 1000
 #: A bucket's members are compared with its least and greatest ids, and the least after these flips of bits.
 FLIPS = (0x2AAAAAAAAAAAAAAA, 0x1999999999999999)
 CACHED_WORDS = 200_000
@@ -49,8 +53,6 @@ CACHED_WORDS = 200_000
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_FINE_MUL = (_RNG.integers(0, 1 << 31, FINE_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_FINE_ADD = _RNG.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint32)
 _MIX = (_RNG.integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -92,13 +94,13 @@ class Shingler:
         return np.unique(h), words
 
 
-def minima(shingles: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+def minima(shingles: np.ndarray) -> np.ndarray:
     x = shingles.astype(np.uint32)
-    least = np.full(len(mul), 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
         for start in range(0, len(x), 1024):
-            values = np.multiply.outer(mul, x[start : start + 1024])
-            values += add[:, None]
+            values = np.multiply.outer(_MUL, x[start : start + 1024])
+            values += _ADD[:, None]
             np.minimum(least, values.min(axis=1), out=least)
     return least
 
@@ -113,15 +115,15 @@ def band_keys(least: np.ndarray, each: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def packed(least: np.ndarray, bits: int = KEPT_BITS, longs: int = LONGS) -> np.ndarray:
+def packed(least: np.ndarray) -> np.ndarray:
     """The low bits of every minimum (mixed, so that they are fair), side by side in 64-bit numbers."""
-    each = 8 // bits
-    low = np.zeros(longs * 64 // bits, dtype=np.uint8)
+    each = 8 // KEPT_BITS
+    low = np.zeros(LONGS * 64 // KEPT_BITS, dtype=np.uint8)
     with np.errstate(over="ignore"):
-        low[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-    out = np.zeros(longs * 8, dtype=np.uint8)
+        low[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - KEPT_BITS)
+    out = np.zeros(LONGS * 8, dtype=np.uint8)
     for k in range(each):
-        out |= low[k::each] << (bits * k)
+        out |= low[k::each] << (KEPT_BITS * k)
     return out.view(np.int64)
 
 
@@ -130,44 +132,40 @@ def _signatures(each: int):
         shingler = Shingler()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, k1, k2 in zip(batch["doc_id"], batch["text"], batch["k1"], batch["k2"], strict=True):
                 found, words = shingler.shingles(text)
                 if not len(found):
-                    rows.append((doc_id, 0, 0, 0, None, None))
+                    rows.append((doc_id, k1, k2, 0, 0, 0, None, None))
                     continue
                 least = minima(found)
                 digest = xxhash.xxh3_128_digest(b" ".join(words))
                 h = np.frombuffer(digest, dtype=np.int64)
-                rows.append((doc_id, len(found), int(h[0]), int(h[1]), band_keys(least, each), packed(least)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"])
+                rows.append((doc_id, k1, k2, len(found), int(h[0]), int(h[1]), band_keys(least, each), packed(least)))
+            out = pd.DataFrame(rows, columns=["doc_id", "k1", "k2", "n_shingles", "h1", "h2", "bands", "sig"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     return sign
 
 
-def _fine_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for batch in batches:
-        rows = []
-        for key, text in zip(batch["id"], batch["text"], strict=True):
-            found = shingler.shingles(text)[0]
-            rows.append((key, len(found), packed(minima(found, _FINE_MUL, _FINE_ADD), FINE_BITS, FINE_LONGS)))
-        yield pd.DataFrame(rows, columns=["id", "n", "fine"])
+        yield pd.DataFrame({"id": batch["id"], "grams": [shingler.shingles(text)[0].view(np.int64) for text in batch["text"]]})
 
 
-def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = KEPT_BITS, longs: int = LONGS) -> Column:
+def estimate(a: Column, b: Column) -> Column:
     """The share of minima that agree in their kept bits, corrected for those that agree by chance."""
-    ones = sum(1 << k for k in range(0, 64, bits))  # the lowest bit of each group
+    ones = sum(1 << k for k in range(0, 64, KEPT_BITS))  # the lowest bit of each group
     differing = F.lit(0)
-    for k in range(longs):
-        x, step = a[k].bitwiseXOR(b[k]), bits // 2
+    for k in range(LONGS):
+        x, step = a[k].bitwiseXOR(b[k]), KEPT_BITS // 2
         while step:
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
             step //= 2
         differing = differing + F.bit_count(x.bitwiseAND(F.lit(ones)))
-    chance = 2.0**-bits
-    return ((F.lit(hashes) - differing) / F.lit(float(hashes)) - chance) / (1.0 - chance)
+    chance = 2.0**-KEPT_BITS
+    return ((F.lit(HASHES) - differing) / F.lit(float(HASHES)) - chance) / (1.0 - chance)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -194,28 +192,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInPandas(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id and kept of every row.
+def sharing_rare_shingles(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle which no pair at the threshold can all lack.
 
-    Documents are linked where ``100 * intersection >= percent * union``; ``component_id`` is the least id
-    reachable by links, ``class_id`` the least id with the same words.
+    ``members`` has id and component, ``texts`` their texts.
     """
-    whole = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = written(texts.join(members, "id").select("id", "text").mapInPandas(_sets, "id long, grams array<long>"), "sets")
+    each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("often"))
+    # A window is one text's shingles.
+    ranked = each.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "gram")))
+    first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & (F.col("often") > 1))
+    first = written(first.join(members, "id").select("gram", "id", "n", "component", "often"), "first-shingles")
+    # A group of more than GROUP members is cut into blocks, and every two blocks meet in a task of their own.
+    blocks = F.ceil(F.col("often") / GROUP)
+    dealt = first.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", "id", "n", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "low", "high")]
+    return a.join(b, same[0] & same[1] & same[2] & met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, k1, k2 (hashes of the text), n_shingles, class_id and component_id of every row, and the class (h1, h2)."""
+    text = F.col("text").cast("string")
+    whole = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     signed = written(
-        whole.mapInPandas(_signatures(rows_of_a_band(percent)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"),
+        whole.mapInPandas(_signatures(rows_of_a_band(percent)), "doc_id long, k1 long, k2 long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"),
         "signatures",
     )
-    classes = written(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
-    single = signed.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(single.select(F.col("doc_id").alias("id"), "bands", "sig"), "representatives")
+    known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Any row of a class has its bands and signature; its texts differ in white space and case at most.
+    firsts = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = written(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "least", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "bands", "sig"), "classes")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     flipped = [F.min(F.col("id").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias(f"other{k}") for k, flip in enumerate(FLIPS)]
     buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *flipped).filter("low <> high")
     members = written(keyed.join(buckets, "key"), "buckets")
     sigs = reps.select("id", "sig")
-    # Only texts of representatives in shared buckets are compared.
-    shared = members.select("id").distinct()
-    texts = written(whole.withColumnRenamed("doc_id", "id").join(shared, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # Only texts of classes in shared buckets are compared, one of each class.
+    shared = reps.select("id", "k1", "k2").join(members.select("id").distinct(), "id", "left_semi")
+    texts = written(whole.select("k1", "k2", "text").join(broadcast_if_small(shared, 24), ["k1", "k2"]).groupBy("id").agg(F.first("text").alias("text")), "texts")
     least = percent / 100.0 - MARGIN
 
     def promising(pairs: DataFrame) -> DataFrame:
@@ -228,45 +246,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(near.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-    unsettled = written(placed.join(mixed, "key"), "unsettled")
-    # A representative is in at most one bucket for each band.
-    own_keys = unsettled.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    fine = texts.join(own_keys.select("id"), "id", "left_semi").mapInPandas(_fine_signatures, "id long, n long, fine array<long>")
-    rest = written(unsettled.join(own_keys, "id").join(fine, "id"), "unsettled")
-    a, b = rest.alias("a"), rest.alias("b")
-    rest_pairs = (
-        a.join(
-            b,
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.id") < F.col("b.id"))
-            & (F.col("a.component") != F.col("b.component"))
-            & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-            & (estimate(F.col("a.fine"), F.col("b.fine"), FINE_HASHES, FINE_BITS, FINE_LONGS) >= percent / 100.0 - FINE_MARGIN)
-            & (F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")),
-        )
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = written(confirmed(rest_pairs, texts, percent), "links")
+    unsettled = written(placed.join(mixed, "key").select("id", "component").distinct(), "unsettled")
+    rest_pairs = sharing_rare_shingles(unsettled, texts, percent).join(star, ["a", "b"], "left_anti")
+    more = written(confirmed(promising(rest_pairs), texts, percent), "links")
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    reach = components(every).withColumnRenamed("node", "class_id")
-    labelled = classes.withColumnRenamed("id", "class_id").join(reach, "class_id", "left")
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2"], "left")
-    own = F.col("n_shingles") == 0
-    class_id = F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    component = F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    reach = reps.select("h1", "h2", "least", "id").join(components(every).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = reach.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(reach.join(lowest, "component").select("h1", "h2", "component", F.col("least").alias("class_id"), "component_id"), "components")
+    return signed.select("doc_id", "k1", "k2", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id and kept of every row.
+
+    Documents are linked where ``100 * intersection >= percent * union``; ``component_id`` is the least id
+    reachable by links, ``class_id`` the least id with the same words.
+    """
+    rows = linked(docs, percent)
+    own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    class_id, component = (F.when(own, F.col("doc_id")).otherwise(F.col(c)) for c in ("class_id", "component_id"))
+    return rows.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, that with the least id, with all its columns.
 
-    Rows that repeat an id and a text become one; rows with a null id stay.
+    Of rows of one group and id, that with the least hash of its text stays. Rows that repeat an id and a text
+    become one; rows with a null id, and different texts without words, stay.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64(F.col("text").cast("string"))).orderBy(F.lit(1))
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").withColumn("__copy", F.row_number().over(once))
-    return left.filter((F.col("__copy") == 1) | F.col("doc_id").isNull()).drop("__copy")
+    rows = linked(docs.select("doc_id", "text"), percent).filter("doc_id IS NOT NULL")
+    # Hashes alone are grouped; of the rows of ``docs`` only those that are repeated are.
+    texts = rows.groupBy("doc_id", "k1", "k2").agg(F.max("component").alias("component"), F.count("*").alias("copies"))
+    texts = written(texts, "texts")
+    first = texts.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
+    gone = texts.join(first, "component").filter(F.struct("doc_id", "k1", "k2") != F.col("first")).select("doc_id", "k1", "k2")
+    repeated = texts.filter("copies > 1").select("doc_id", "k1", "k2").join(gone, ["doc_id", "k1", "k2"], "left_anti")
+    gone, repeated = (written(x.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "k1", "k2"))), "fates") for x in (gone, repeated))
+    text = docs["text"].cast("string")
+    is_row = (docs["doc_id"].cast("long") == F.col("__doc_id")) & (F.xxhash64(text) == F.col("__k1")) & (F.xxhash64(F.lit(1), text) == F.col("__k2"))
+    once = docs.join(broadcast_if_small(gone.unionByName(repeated), 24), is_row, "left_anti")
+    again = docs.join(broadcast_if_small(repeated, 24), is_row)
+    again = again.groupBy("__doc_id", "__k1", "__k2").agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("__row")).select("__row.*")
+    return once.unionByName(again)
 
 
 ORACLE_SQL = r"""

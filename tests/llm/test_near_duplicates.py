@@ -65,6 +65,39 @@ def test_one_row_of_each_group_stays_with_all_its_columns(spark):
     assert ids == sorted(i for i, (_, c) in expected.items() if i == c)
 
 
+def test_ids_that_come_with_several_texts_link_text_by_text(spark):
+    rng = random.Random(6)
+    w, v, u = (X.sentence(rng, 80) for _ in range(3))
+    rows = [(5, w), (5, v), (7, w + " tail"), (9, v + " tail"), (4, u), (9, u + " tail"), (5, w)]
+    for parts in (1, 3):
+        got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(4, 4), (5, 5), (5, 5), (5, 5), (7, 5), (9, 4), (9, 5)]
+    left = M.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == sorted([(4, u), (5, w), (5, v)])
+
+
+def test_texts_with_a_common_passage_are_not_linked_and_near_ones_among_them_are(spark):
+    """One large bucket whose members are not near each other, but for planted pairs; the groups of shingles are cut into blocks."""
+    rng = random.Random(7)
+    base = X.sentence(rng, 150)
+    rows = [(k, f"{base} {X.sentence(rng, 40)}") for k in range(400)]
+    rows += [(1000 + k, rows[k][1].replace(" ", f" x{k} ", 1)) for k in range(0, 400, 40)]
+    size, M.GROUP = M.GROUP, 7
+    try:
+        got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        M.GROUP = size
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = X.sentence(rng, 120_000)
+    rows = [(1, long), (2, long + " and a tail"), (3, "same word " * 60_000), (4, "same word " * 50_000)]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute([(*r, "", "", 0) for r in rows], 85)
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(X.empty(spark)).count() == 0
     assert M.keep_one_of_each(X.empty(spark)).count() == 0
