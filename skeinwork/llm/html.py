@@ -1,22 +1,30 @@
 """Main text of web pages by consensus paths of a host.
 
 Every page is read into a light tree. Each container is scored by how much of the page's running text it
-holds (recall) and how little else (precision); the page votes for the best ones by their generalised
-path: tags with class names, digits made alike. Spark adds the votes for each host, and each page is then
-extracted again from the nodes on its host's winning path. A page without such a node, or whose own best
-container holds far more running text, falls back on its own best.
+holds (recall) and how little else (precision); the page votes for the best ones (``votes`` of them) by
+their generalised path: tags with all their class names, digits made alike. Spark adds the votes for each
+host, and each page is then extracted again from the nodes on its host's winning path. A page without such
+a node, or whose own best container holds far more running text, falls back on its own best.
 
 Inside the chosen nodes, subtrees that are not the article are left out: by tag, role, hidden state and
-class or id words (menus, headers, footers, sidebars, notices, adverts, forms, comments and so on). The
-text of a block is what block-level tags enclose; ``br`` is white space within it.
-
-Edges: null or empty html gives an empty text; a null url has the empty host, which votes like another;
-broken markup never fails; repeated rows give the same text; an empty table gives an empty result; other
-columns are ignored.
+class or id words (menus, headers, footers, sidebars, notices, adverts, forms, comments and so on). A mark
+is no proof: a form, or what only its class or id words mark as boilerplate, stays if it holds most of the
+page's running text; and where every piece of running text is marked, comments, roles and tags yield in the
+same way. What is hidden never does. The text of a block is what block-level tags enclose; ``br`` is white
+space within it.
+
+A page is read twice, to vote and to extract: the alternative is to write every page's blocks in between,
+which costs more than reading.
+
+Edges: null or empty html gives an empty text; a null url has the empty host, which votes like another; of
+equally good containers the deepest counts, and of paths with equal votes the last by name; broken markup
+never fails; attributes, texts and pages may be of any length and are read in linear time; repeated rows give
+the same text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -36,7 +44,10 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article blockquote body center dd details div dl fieldset figure main ol section table tbody td tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("aside button datalist dialog footer form head input label menu nav select".split())
+DROPPED = frozenset("aside button datalist dialog footer head input label menu nav select".split())
+#: Marks: boilerplate unless most running text lies under it; the same if nothing else is left; hidden or a control.
+MAYBE, LIKELY, HIDDEN = 1, 2, 3
+CONTROLS = frozenset("button datalist head input label select".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: What a start tag ends when it is still open.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -46,22 +57,23 @@ MARKS = frozenset(
     "modal nav navbar navigation navlinks newsletter notice notices notification outbrain overlay pager paginate pagination paywall popup promo promoted promotion recommend recommendations recommended related "
     "search share sharing shares sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola teaser toolbar topbar trending widget widgets".split()
 )
-#: Marks that hold however much text lies under them.
+#: Marks of what readers wrote.
 COMMENTS = frozenset("comment comments commentlist commenters discussion disqus replies respond reviews".split())
 
-#: Possessive throughout: a long run of broken markup is read once, not again and again.
+#: Possessive throughout. A tag ends at the first > outside quotes; its last group is empty if it does not end so.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]++|<",
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)|[^<]++|<",
     re.S,
 )
+#: What a tag with an unclosed quote is read by, up to the next > or <.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(>)|<()()()()")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 #: Characters from which a block counts as running text.
 RUNNING = 25
-#: Candidates that a page votes for.
+#: Containers that a page votes for, unless the caller says otherwise.
 VOTES = 3
 #: Characters of hosts and paths that are broadcast, at most.
 MOST_BROADCAST = 16_000_000
@@ -76,22 +88,24 @@ class Page:
         self._read(html or "")
 
     def _node(self, parent: int, tag: str, attributes: str) -> int:
-        mark, key = (2 if tag in DROPPED else 1 if tag == "header" else 0), tag
+        mark, key = (HIDDEN if tag in CONTROLS else LIKELY if tag in DROPPED else MAYBE if tag in ("header", "form") else 0), tag
         if attributes and not attributes.isspace():
             found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes)}
             named = unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
             if tag not in ("html", "body", "main", "article"):
                 words = set(_WORD.findall(named))
                 if words & COMMENTS:
-                    mark = 2
+                    mark = max(mark, LIKELY)
                 elif words & MARKS:
-                    mark = max(mark, 1)
+                    mark = max(mark, MAYBE)
             elif set(_WORD.findall(named)) & COMMENTS and tag == "article":
-                mark = 2
+                mark = max(mark, LIKELY)
             style = found.get("style", "").replace(" ", "").lower()
-            if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-                mark = 2
-            classes = sorted(set(_DIGITS.sub("0", found.get("class", "").lower()).split()))[:3]
+            if found.get("role", "").lower() in ROLES:
+                mark = max(mark, LIKELY)
+            if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+                mark = HIDDEN
+            classes = sorted(set(_DIGITS.sub("0", found.get("class", "").lower()).split()))
             key = ".".join([tag, *classes])
         self.parent.append(parent)
         self.tag.append(tag)
@@ -101,7 +115,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, block, words, linked, links, at = [0], 0, [], 0, 0, 0
-        size = len(html)
+        size, loose = len(html), 0
 
         def flush() -> None:
             nonlocal words, linked
@@ -114,9 +128,13 @@ class Page:
         tags = self.tag
         while at < size:
             m = _TOKEN.match(html, at)
+            if m[4] == "" or m[2] and at < loose:
+                # A quote is not closed. Up to where that showed, quotes mean nothing, so nothing is read a third time.
+                loose = max(loose, m.end())
+                m = _LOOSE.match(html, at)
             at = m.end()
-            closing, name, attributes = m[1] or m[4], m[2] or m[5], m[3] or m[6] or ""
-            if name is None:
+            closing, name, attributes = m[1], m[2], m[3] or ""
+            if not name:
                 piece = m[0]
                 if piece[0] != "<" or piece == "<":
                     words.append(piece)
@@ -183,17 +201,25 @@ class Page:
             amounts[self.parent[k]] += amounts[k]
 
     def kept(self) -> list[bool]:
-        """Which nodes may hold article text; a marked one that holds most running text may."""
+        """Which nodes may hold article text."""
         running = [0] * len(self.tag)
         for node, text, linked in self.blocks:
             if len(text) >= RUNNING and 2 * linked < len(text):
                 running[node] += len(text)
+        own = list(running)
         self._sum_up(running)
-        fine = [True] * len(self.tag)
-        for k in range(1, len(self.tag)):
-            mark = self.mark[k]
-            fine[k] = fine[self.parent[k]] and not (mark == 2 or mark == 1 and 10 * running[k] <= 6 * running[0])
-        return fine
+
+        def fine(yielding: int) -> list[bool]:
+            out = [True] * len(self.tag)
+            for k in range(1, len(self.tag)):
+                mark = self.mark[k]
+                out[k] = out[self.parent[k]] and not (mark > yielding or mark and 10 * running[k] <= 6 * running[0])
+            return out
+
+        first = fine(MAYBE)
+        if running[0] and not any(map(operator.and_, first, map(bool, own))):
+            return fine(LIKELY)
+        return first
 
     def path(self, node: int) -> str:
         keys = []
@@ -246,7 +272,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
-def consensus(pages: DataFrame) -> DataFrame:
+def consensus(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     """host and its winning path; votes are added before and after one shuffle."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,16 +280,16 @@ def consensus(pages: DataFrame) -> DataFrame:
             rows = []
             for host, html in zip(batch["host"], batch["html"], strict=True):
                 page = Page(html)
-                best = page.scores(page.kept())[:VOTES]
+                best = page.scores(page.kept())[:votes]
                 rows += [(host, page.path(node), round(1000 * f) if k == 0 else round(400 * f)) for k, (f, _, node) in enumerate(best)]
             yield pd.DataFrame(rows, columns=["host", "path", "votes"])
 
     named = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).filter("html <> ''")
-    votes = named.mapInPandas(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    summed = named.mapInPandas(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
 
     @F.pandas_udf("string")
@@ -283,7 +309,7 @@ def extract(pages: DataFrame) -> DataFrame:
             out.append(page.text(roots, fine))
         return pd.Series(out, dtype="string")
 
-    winners = written(consensus(bounded_batches(pages)), "winners")
+    winners = written(consensus(bounded_batches(pages), votes), "winners")
     size = winners.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0
     winners = F.broadcast(winners) if size <= MOST_BROADCAST else winners
     named = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
