@@ -1,12 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-The base statistics are computed for every text. The further rules are tried one after the other until
-one rejects, in an order learnt from a sample: each rule's cost (seconds a text) and selectivity (share
-rejected) are measured on at most ``SAMPLE_ROWS`` rows, and the rule with the most rejection for its cost
-comes first. The order changes the work, never the verdict, which is that no rule rejects.
-
-A null text counts as empty: no words, so the base check fails. Ties and repeated rows are judged alike,
-an empty table gives an empty result, other columns are ignored (or kept as they are by ``keep_good``).
+Rules are tried one after the other until one rejects, in an order learnt from a sample: each rule's cost
+(seconds a text, what it reads of the text included) and selectivity (share rejected) are measured on at
+most ``SAMPLE_ROWS`` rows, and the rule with the most rejection for its cost comes first. A text's statistics
+are computed when the first rule asks for them, so a text that a cheap rule rejects never has its windows
+counted. The order changes the work, never the verdict, which is that no rule rejects.
+
+``keep_good`` runs all rules so, the base checks among them. ``score_quality`` owes the base statistics of
+every text, so there only the further rules are a cascade.
+
+A null text counts as empty: no words, so the base check fails. Texts of any length are judged whole. Ties
+and repeated rows are judged alike, an empty table gives an empty result, other columns are ignored (or kept
+as they are by ``keep_good``).
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,21 +36,51 @@ WINDOW = 5
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
-@dataclass
 class Text:
-    """A text with what the rules look at."""
+    """A text with what the rules look at, each statistic computed once and only if asked for."""
+
+    def __init__(self, text: str | None) -> None:
+        self.text = text or ""
+
+    @cached_property
+    def raw(self) -> bytes:
+        return self.text.encode()
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()  # bytes split at ASCII white space only
+
+    @property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.raw.count, SPACES))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [line for line in self.raw.split(b"\n") if line.strip()]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
 
-    text: str
-    n_words: int
-    word_chars: int
-    n_symbols: int
-    n_lines: int
-    n_dup_lines: int
-    n_repeat_words: int
+    @cached_property
+    def n_letters(self) -> int:
+        return sum(map(str.isalpha, self.text))
 
     @property
     def base_failed(self) -> bool:
-        return self.n_words < 10 or 100 * self.n_repeat_words > 20 * self.n_words
+        return any(rule.rejects(self) for rule in BASE_RULES)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -74,47 +110,39 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(inside) > 0).sum())
 
 
-def measured(text: str | None) -> Text:
-    text = text or ""
-    raw = text.encode()
-    words = raw.split()  # bytes split at ASCII white space only
-    lines = [line for line in raw.split(b"\n") if line.strip()]
-    return Text(
-        text=text,
-        n_words=len(words),
-        word_chars=len(text) - sum(map(raw.count, SPACES)),
-        n_symbols=sum(map(text.count, SYMBOLS)),
-        n_lines=len(lines),
-        n_dup_lines=len(lines) - len(set(lines)),
-        n_repeat_words=repeated_words(words),
-    )
-
-
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Callable[[Text], bool]
 
 
+#: Characters that count as upper case in Python but are no upper-case letters.
+_NO_LETTERS = frozenset(map(chr, (*range(0x2160, 0x2170), *range(0x24B6, 0x24D0), *range(0x1F130, 0x1F14A), *range(0x1F150, 0x1F16A), *range(0x1F170, 0x1F18A))))
+
+
 def shouts(t: Text) -> bool:
-    return 100 * sum(map(str.isupper, t.text)) > 30 * sum(map(str.isalpha, t.text))
+    upper = sum(map(str.isupper, t.text)) - (0 if t.text.isascii() else sum(map(_NO_LETTERS.__contains__, t.text)))
+    return 100 * upper > 30 * t.n_letters
 
 
 def lacks_letters(t: Text) -> bool:
-    return 100 * sum(map(str.isalpha, t.text)) < 50 * t.word_chars
+    return 100 * t.n_letters < 50 * t.word_chars
 
 
 def stutters(t: Text) -> bool:
-    words = t.text.encode().split()
-    return 100 * sum(map(bytes.__eq__, words[1:], words)) > 30 * t.n_words
+    return 100 * sum(map(bytes.__eq__, t.words[1:], t.words)) > 30 * t.n_words
 
 
+BASE_RULES = (
+    Rule("few_words", lambda t: t.n_words < 10),
+    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 20 * t.n_words),
+)
 #: Thresholds are in whole percent so that SQL can repeat them exactly.
 RULES = (
     Rule("symbols", lambda t: 100 * t.n_symbols > 10 * t.n_words),
     Rule("shouting", shouts),
     Rule("exclamations", lambda t: 100 * t.text.count("!") > 30 * t.n_words),
-    Rule("repeated_lines", lambda t: 100 * t.n_dup_lines > 40 * t.n_lines),
+    Rule("repeated_lines", lambda t: 100 * t.n_dup_lines > 40 * len(t.lines)),
     Rule("few_letters", lacks_letters),
     Rule("stutter", stutters),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
@@ -129,8 +157,8 @@ def estimated_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
 
     def trial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t for t in map(measured, batch["text"]) if not t.base_failed]
             for k, rule in enumerate(rules):
+                texts = [Text(t) for t in batch["text"]]  # new ones, so that a rule pays for what it asks for
                 start = time.perf_counter()
                 rejected = sum(map(rule.rejects, texts))
                 yield pd.DataFrame({"rule": [k], "n": [len(texts)], "rejected": [rejected], "seconds": [time.perf_counter() - start]})
@@ -138,7 +166,15 @@ def estimated_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
     sample = docs.select(F.col("text").cast("string").alias("text")).sample(min(1.0, 1.2 * sample_rows / total), seed=11).limit(sample_rows)
     sums = sample.mapInPandas(trial, "rule int, n long, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("r"), F.sum("seconds").alias("s")).collect()
     worth = {x["rule"]: x["r"] / max(x["s"], 1e-9) for x in sums}
-    return sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k))
+    spent = {x["rule"]: x["s"] for x in sums}
+    return sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), spent.get(k, 0.0), k))
+
+
+def tried(texts: Iterator[str | None], rules: tuple[Rule, ...], order: list[int]) -> Iterator[int]:
+    """How many rules each text meets before one rejects it or all are done; negative if none rejects."""
+    for t in map(Text, texts):
+        at = next((n for n, k in enumerate(order, 1) if rules[k].rejects(t)), 0)
+        yield at or -len(order)
 
 
 def judge(order: list[int], rules: tuple[Rule, ...] = RULES):
@@ -147,7 +183,7 @@ def judge(order: list[int], rules: tuple[Rule, ...] = RULES):
     @F.pandas_udf(BASE_SCHEMA)
     def verdict(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in map(measured, texts):
+        for t in map(Text, texts):
             failed = t.base_failed
             kept = not failed and not any(rules[k].rejects(t) for k in order)
             rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, kept))
@@ -163,9 +199,15 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the cascade keeps, with all their columns."""
-    verdict = judge(estimated_order(docs, rules), rules)
-    return docs.filter(verdict(F.col("text").cast("string"))["kept"])
+    """The rows of ``docs`` that no rule rejects, the base checks included, with all their columns."""
+    every = (*BASE_RULES, *rules)
+    order = estimated_order(docs, every)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series([n < 0 for n in tried(texts, every, order)], dtype=bool)
+
+    return docs.filter(good(F.col("text").cast("string")))
 
 
 ORACLE_SQL = r"""
