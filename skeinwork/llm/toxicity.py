@@ -7,17 +7,21 @@ through a logistic curve, so a long text is not toxic for its length.
 
 Lexicon, exceptions and curve are learnt from a bounded sample of labelled rows: at most ``SAMPLE`` of
 each label, those with the smallest hashes of their ids, near copies counted once: a row goes only if its
-text, or four fifths of its five-word shingles, are those of a row with a lesser id. Every text is scored whole.
+text, or four fifths of its five-word shingles, are those of a row with a lesser id. Every term and phrase that
+passes the tests of significance is in the lexicon; their number is bounded by the sample. Word beginnings
+have ``STEMS`` letters: a longer one counts as its whole words. Every text is scored whole, whatever its length.
 
 Edges: a null, blank or unmatched text has the curve's value at no hits; without labels of both kinds there
 is no lexicon and every score is 0; labels that are null, or that contradict each other on one id, teach
-nothing; repeated rows are scored alike; other columns are ignored.
+nothing; an id with several texts teaches the least of them; repeated rows are scored alike; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +38,6 @@ from skeinwork.llm.common import bounded_batches, written
 SAMPLE = 4000
 #: Lengths of word beginnings that can become terms.
 STEMS = range(3, 8)
-MOST_TERMS = 400
 LEAST_TEXTS = 4
 #: Least log-likelihood ratio of a term: about one chance in ten million.
 LEAST_RATIO = 28.0
@@ -160,7 +163,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     chosen = known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # At most twice ``sample`` ids are broadcast, whatever the input.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     return _distinct(rows)
 
 
@@ -198,19 +201,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         .withColumns({"weight": weight, "ratio": F.round(ratio, 6)})
         .filter(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.desc("ratio"), "term")
-        .limit(20 * MOST_TERMS)
         .collect()
     )
+    names = sorted(r["term"] for r in best)
     known = {r["term"]: r for r in best}
     weights: dict[str, float] = {}
+    begun: set[str] = set()  # all beginnings of the terms in weights
     for r in best:
-        if len(weights) >= MOST_TERMS or any(r["term"].startswith(t) or t.startswith(r["term"]) for t in weights):
+        if r["term"] in begun or any(r["term"][:n] in weights for n in range(1, len(r["term"]) + 1)):
             continue
         while better := [
-            x for t, x in known.items() if t != r["term"] and t.startswith(r["term"]) and (x["a"] >= KEEPS * r["a"] and x["weight"] >= r["weight"] + GAIN or x["a"] >= ALIKE * r["a"])
+            x
+            for x in map(known.__getitem__, names[bisect_right(names, r["term"]) : bisect_left(names, r["term"] + "\U0010ffff")])
+            if x["a"] >= KEEPS * r["a"] and x["weight"] >= r["weight"] + GAIN or x["a"] >= ALIKE * r["a"]
         ]:
             r = max(better, key=lambda x: (x["weight"], x["term"]))
         weights[r["term"]] = float(r["weight"])
+        begun.update(r["term"][:n] for n in range(1, len(r["term"]) + 1))
     lexicon = Lexicon(weights)
     return _with_curve(rows, Lexicon(weights, _exceptions(rows, lexicon)))
 
@@ -236,7 +243,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
 
     n = rows.select("text", "toxic").mapInPandas(around, "phrase string, toxic int, n long").groupBy("phrase")
     sums = n.agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
-    return frozenset(r["phrase"] for r in sums.filter("clean >= 4 AND clean >= 4 * toxic").orderBy(F.desc("clean"), "phrase").limit(MOST_TERMS).collect())
+    return frozenset(r["phrase"] for r in sums.filter("clean >= 4 AND clean >= 4 * toxic").collect())
 
 
 def _with_curve(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
