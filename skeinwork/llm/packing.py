@@ -8,8 +8,9 @@ decision is the one that best-fit decreasing makes for every single piece, at a
 with their number. Spark then ranks the pieces of a length (in salted groups, as one length may hold a
 third of all rows) and looks the rank up in the runs.
 
-Edges: a null text counts as empty and is the end mark alone; repeated rows are packed as often as they
-occur; an empty table gives an empty result; other columns are ignored.
+Edges: a null text counts as empty and is the end mark alone; a text of any length is cut into as many pieces
+as it needs; pieces of one length are interchangeable, and go in the order of their hash and id; repeated rows
+are packed as often as they occur; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from skeinwork.llm.common import bounded_batches, written
 
 WINDOW = 2048
 END = 1
-#: Salted groups of one length, at least and at most; what is broadcast has WINDOW times as many rows at most.
-SALTS = (16, 512)
+#: Pieces of one length that a task ranks; the groups that are broadcast are one for each so many, and one for each length.
+RANKED = 200_000
 #: Most pieces that are turned into rows at a time.
 BATCH = 20_000
 
@@ -173,8 +174,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, carry_i
     cut = written(pieces(docs, window, path, carry_ids), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = best_fit_decreasing(counts, window)
-    salts = max(SALTS[0], min(SALTS[1], sum(counts.values()) // 1_000_000))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    each = spark.createDataFrame([(length, -(-n // RANKED)) for length, n in counts.items()] or [(0, 1)], "length long, salts long")
+    salted = cut.join(F.broadcast(each), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select(
@@ -182,7 +183,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, carry_i
         "salt",
         F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    # Both lookups are bounded by the window's length: window * SALTS[1] rows, and a few runs for each length.
+    # Both lookups are small: a row for each RANKED pieces and each length, and a few runs for each length.
     ranked = salted.withColumn("place", F.row_number().over(within)).join(F.broadcast(before), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place") - 1)
     table = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "run_length long, from_rank long, to_rank long, first long, per long, base long")
