@@ -1,17 +1,24 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed n-grams of every labelled text, partition by partition, and adds the counts
-in Spark; what reaches the driver is one row for each language and bucket (``2**BITS`` at most). The
-matrix of log probabilities is broadcast, and a batch of texts is scored in numpy: n-grams are hashed
-from arrays of code points, and each text's counts times the matrix is a sum over its n-grams.
-
-A text that is null or has no letter is ``und`` with score 0. A text is judged whole, whatever its length.
-Rows with a null label teach nothing. With no labelled row at all every text is ``und``. Repeated rows
-count as often as they occur; other columns are ignored.
+Training counts the documents of every language and the hashed n-grams of every labelled text, partition by
+partition, and adds the counts in Spark; what reaches the driver is one row for each language and bucket
+(``2**BITS`` at most). Class priors are the languages' shares of the documents. The matrix of log
+probabilities is broadcast, and a batch of texts is scored in numpy: n-grams are hashed from arrays of code
+points, and each text's counts times the matrix is a sum over its n-grams. As the n-grams that begin at one
+character are not independent, they have one vote between them.
+
+A posterior tells languages apart, not whether a text is in any of them. ``fit`` does: by how many nats an
+n-gram is likelier in the predicted language than where all are alike, on average.
+
+A text that is null or has no letter is ``und`` with score and fit 0. A text is judged whole, whatever its
+length. Rows with a null label teach nothing. With no labelled row at all every text is ``und``. Of languages
+that are equally likely the first by name is predicted. Repeated rows count as often as they occur; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +32,9 @@ BITS = 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 UNKNOWN = "und"
-SCHEMA = "lang_pred string, score double"
+SCHEMA = "lang_pred string, score double, fit double"
+#: Where a language's documents are counted, beside its buckets.
+DOCUMENTS = -1
 #: Code points that one pass of the scorer holds at a time; longer texts are summed in pieces.
 PIECE = 1 << 18
 
@@ -87,13 +96,14 @@ def counts_of(parts: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix of log probabilities (bucket, language) from all labelled rows."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the matrix of log probabilities (bucket, language) and the log priors, from all labelled rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         held: dict[str, list[tuple[np.ndarray, int]]] = {}
         sizes: dict[str, int] = {}
+        documents: Counter[str] = Counter()
 
         def add(name: str) -> None:
             if held.get(name):
@@ -101,6 +111,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             held[name], sizes[name] = [], 0
 
         for batch in batches:
+            documents.update(batch["lang"])
             for name, text in zip(batch["lang"], batch["text"], strict=True):
                 for part in pieces(folded(text)):  # counted together, a bounded number of characters at a time
                     held.setdefault(name, []).append(part)
@@ -112,19 +123,24 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": own[at]})
+        if documents:
+            yield pd.DataFrame({"lang": list(documents), "bucket": np.int32(DOCUMENTS), "n": list(documents.values())})
 
     labelled = bounded_batches(docs).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = labelled.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((1 << BITS, len(langs)), SMOOTHING)
+    documents = np.zeros(len(langs))
     for k, name in enumerate(langs):
         own = rows[rows["lang"] == name]
+        documents[k] = own["n"][own["bucket"] == DOCUMENTS].sum()
+        own = own[own["bucket"] != DOCUMENTS]
         table[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+    return langs, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(documents / max(1.0, documents.sum()))
 
 
-def predictor(docs: DataFrame, langs: list[str], matrix: np.ndarray):
-    """A UDF from a text to its language and the posterior probability, damped to one vote a character."""
+def predictor(docs: DataFrame, langs: list[str], matrix: np.ndarray, priors: np.ndarray):
+    """A UDF from a text to its language, the posterior probability and the fit."""
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
     @F.pandas_udf(SCHEMA)
@@ -133,19 +149,20 @@ def predictor(docs: DataFrame, langs: list[str], matrix: np.ndarray):
         out = []
         for text in texts:
             if not langs or not has_letter(text):
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0))
                 continue
             points = folded(text)
-            votes = np.zeros(len(langs))
+            votes, n = np.zeros(len(langs)), 0
             for part, own in pieces(points):
                 for b in buckets(part):
                     b = b[:own]
+                    n += len(b)
                     votes += np.bincount(b, minlength=1 << BITS) @ table if len(b) > 1 << BITS else table[b].sum(axis=0, dtype=np.float64)
-            votes -= votes.max()
-            share = np.exp(votes / len(ORDERS))
-            best = int(share.argmax())
-            out.append((langs[best], float(share[best] / share.sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+            total = priors + votes / len(ORDERS)
+            best = int(total.argmax())
+            share = np.exp(total - total[best])
+            out.append((langs[best], float(1 / share.sum()), float(votes[best] / n + BITS * np.log(2))))
+        return pd.DataFrame(out, columns=["lang_pred", "score", "fit"])
 
     return predict
 
@@ -158,11 +175,15 @@ def held_out() -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     predict = predictor(docs, *train(docs.filter(~held_out())))
-    return docs.select("doc_id", held_out().alias("held_out"), predict(F.col("text").cast("string")).alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", held_out().alias("held_out"), predict(F.col("text").cast("string")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.fit")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language, as sure as ``least``, with all their columns."""
+#: Score and fit of a text that has a language, at least.
+SURE, FITS = 0.5, 1.5
+
+
+def keep_identified(docs: DataFrame, least: float = SURE, fits: float = FITS) -> DataFrame:
+    """The rows whose text has a language, as sure as ``least`` and as alike as ``fits``, with all their columns."""
     predict = predictor(docs, *train(docs))
     p = predict(F.col("text").cast("string"))
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= least) & (p["fit"] >= fits))
