@@ -1,13 +1,15 @@
 """Sharding by histogram sort: shards of near equal bytes, each globally ordered.
 
-Every document has the key (hash of its text, hash of its id and text), so equal texts lie side by
-side and a group of copies that outgrows a shard is still divisible. A splitter is found by
+Every document has the key (hash of its text, hash of its id, text and row number), so equal texts lie side by
+side and a group of copies that outgrows a shard, even of rows that repeat id and text, is still divisible. Row
+numbers are those of one reading: what has the keys is written once, and all that follows reads it. A splitter is found by
 counting: exact bytes and rows below candidate boundaries, over all partitions, then finer candidates
 inside the one interval that holds the wanted byte position, until the boundary is within tolerance.
 Only counts reach the driver, at most ``PROBES`` a round for all splitters together. The rows move once.
 
 Behaviour at the edges: a null text counts as empty (size 1, checksum 0); a null id is a value of its
-own; rows that agree in id and text have the same key and stay in one shard; an empty table gives an
+own; rows that agree in id and text are as good as any others; rows are never cut, so the text of a row on a
+boundary goes to one side whole and two shards may differ by that row beside ``tolerance``; an empty table gives an
 empty result; other columns of the input are ignored, whatever their names.
 """
 
@@ -22,9 +24,9 @@ from skeinwork.llm.common import text_or_empty, written
 #: Key bits that the lookup of ranges goes by, and the first round of counting tells apart.
 BITS = 12
 #: Candidate intervals that one round of counting looks at, at most: the more splitters are open, the fewer for each.
-PROBES = 1 << 17
+PROBES = 1 << 18
 #: Most ranges that the rows are dealt to: what is broadcast is one small row for each.
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 14
 LOWEST = -(1 << 63)
 
 
@@ -37,7 +39,7 @@ def keyed(docs: DataFrame, carry_text: bool = False) -> DataFrame:
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
-        F.xxhash64(F.col("doc_id"), text, F.lit(7)).alias("k2"),
+        F.xxhash64(F.col("doc_id"), text, F.monotonically_increasing_id()).alias("k2"),
     )
 
 
@@ -133,7 +135,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
     row for each row of the input. ``slot`` numbers a shard's rows from 0 in key order. Shards are made of
     ranges of about ``range_bytes``; a range is the unit of work, so no task holds a whole shard.
     """
-    keys = written(keyed(docs).select("k1", "k2", "size"), "shard-keys")
+    rows = written(keyed(docs, carry_text), "shard-keys")
+    keys = rows.select("k1", "k2", "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, min(MOST_RANGES // n_shards, -(-total // (n_shards * range_bytes))))
     splitters = find_splitters(keys, n_shards * per_shard, tolerance / per_shard)
@@ -145,7 +148,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
         firsts.append((r, seen))
         seen += sizes.get(r, 0)
     first = docs.sparkSession.createDataFrame(firsts, "range int, first long")
-    dealt = _range_of(splitters, keyed(docs, carry_text)).join(F.broadcast(first), "range")
+    dealt = _range_of(splitters, rows).join(F.broadcast(first), "range")
     place = Window.partitionBy("range").orderBy("k1", "k2")
     return dealt.select(
         "doc_id",
