@@ -16,7 +16,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 #: Bytes of the rows of a table that is broadcast, at most.
-MOST_BROADCAST = 64 << 20
+MOST_BROADCAST = 16 << 20
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:

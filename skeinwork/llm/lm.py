@@ -6,13 +6,18 @@ A token's loss is its negative binary logarithm under a model that smooths each
 a document's score is the mean over its tokens of background loss minus target loss: the higher, the more
 the document is like the target.
 
+A target document is scored by the target model without itself: its own counts are taken from the model's
+before its tokens are looked up. So documents of one kind score alike, whether they are targets or not.
+
 Every n-gram has a row and a count of its own, so the tables grow with the corpus. Only the longest n-grams
 are counted from texts: the shorter ones' counts, and so a token's loss, follow from them. A block of
-documents gets the losses of its own n-grams by a join; no model is collected or broadcast.
+documents gets the losses of its own n-grams by a join, and the counts of those that its targets have; no
+model is collected or broadcast.
 
 Edges: a null or blank text has no tokens, losses and score 0; without target documents the target model
 is the uniform one; a target id that is null or repeated counts as no more than its documents; repeated
-rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
+rows count as often as they occur (each is its own document to leave out); texts are read whole, whatever
+their length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import bounded_batches, written
+from skeinwork.llm.common import bounded_batches, broadcast_if_small, written
 
 ORDER = 4
-#: Slots of ``slots`` and ``losses``, a bounded model that ``score_documents`` does not use.
-BITS = 18
 #: Counts of the lower order that a higher one is smoothed with.
 STRENGTH = 5.0
 #: Characters that the uniform model tells apart.
@@ -38,10 +41,9 @@ START, END = 0x110000, 0x110001
 #: Bits of a code point or a mark; a row of the tables has an n-gram as two pairs of them.
 POINT = 21
 #: Rows of a block of documents, as a power of 2.
-BLOCK = 11
+BLOCK = 12
 #: Characters that are turned to n-grams at a time.
 PIECE = 1 << 20
-MOST_BROADCAST = 1_000_000
 SCHEMA = "n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -54,20 +56,6 @@ def tokens(text: str | None) -> np.ndarray:
     return np.concatenate([np.full(ORDER, START, dtype=np.uint32), points, np.array([END], dtype=np.uint32)])
 
 
-def slots(points: np.ndarray) -> list[np.ndarray]:
-    """For each order, the slot of the n-gram that ends at the last start mark and at every token."""
-    out, h = [], np.zeros(len(points) + 1, dtype=np.uint32)
-    with np.errstate(over="ignore"):
-        base = points * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
-        for n in range(1, ORDER + 1):
-            # h[i] covers n - 1 characters from i on; one more makes the n-gram from i on.
-            h = (h[: len(points) - n + 1] ^ base[n - 1 :]) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(13)
-            own = h[ORDER - n :] * np.uint32(0xC2B2AE35)
-            out.append((own >> np.uint32(32 - BITS)).astype(np.int32))
-    return out
-
-
 def windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The first and the second pair of every n-gram of ``ORDER`` characters, part by part, none across two parts."""
     points = np.concatenate(parts).astype(np.int64)
@@ -124,8 +112,13 @@ def grams(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "text", "target").mapInPandas(count, "block long, a long, b long, t long, n long")
 
 
-def gram_losses(counted: DataFrame) -> DataFrame:
-    """a, b, target_loss and background_loss of the last character of every n-gram, from the counts of all n-grams."""
+#: Counts in the target of an n-gram's last 1 to 4 characters, and of the 1 to 3 before the last.
+COUNTS = ("t1", "t2", "t3", "t4", "tb1", "tb2", "tb3")
+
+
+def gram_losses(counted: DataFrame) -> tuple[DataFrame, int]:
+    """Of the last character of every n-gram a, b, from the counts of all n-grams: target_loss and background_loss,
+    and ``COUNTS`` where the target has it; and how many tokens the target has."""
     low = (1 << POINT) - 1
     middle = F.col("a").bitwiseAND(F.lit(low)) * (1 << POINT) + F.shiftright("b", POINT)
     four = counted.groupBy("a", "b").agg(F.sum("t").alias("t4"), F.sum("n").alias("n4")).withColumn("m", middle)
@@ -151,62 +144,92 @@ def gram_losses(counted: DataFrame) -> DataFrame:
             p = (F.col(f"{c}{k}") + STRENGTH * p) / (F.coalesce(F.col(below), F.lit(0)) + STRENGTH)
         return -F.log2(p)
 
-    return out.select("a", "b", loss("t").alias("target_loss"), loss("n").alias("background_loss"))
-
-
-def losses(points: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The summed loss of the tokens under the target and the background model."""
-    p, below = np.float32(1.0 / ALPHABET), totals.astype(np.float32)
-    for n, own in enumerate(slots(points)):
-        seen = counts[n][own]
-        p = (seen[1:] + np.float32(STRENGTH) * p) / (below + np.float32(STRENGTH))
-        below = seen[:-1]
-    return -np.log2(p).sum(axis=0, dtype=np.float64)
-
-
-def score_block(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    """The scores of a block of documents, by the losses of all its n-grams."""
-    n, sums = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), 2))
-    names = np.unique(np.concatenate([table["a"], table["b"]]))
-    keys = np.searchsorted(names, table["a"]) * len(names) + np.searchsorted(names, table["b"])
-    order = np.argsort(keys)
-    keys, values = keys[order], table[["target_loss", "background_loss"]].to_numpy(dtype=float)[order]
-    held, size = [], 0
-
-    def add() -> None:
-        if not held:
-            return
-        a, b = windows([p for _, p in held])
-        own = values[np.searchsorted(keys, np.searchsorted(names, a) * len(names) + np.searchsorted(names, b))]
-        at = np.repeat([k for k, _ in held], [len(p) - ORDER + 1 for _, p in held])
-        for kind in (0, 1):
-            sums[:, kind] += np.bincount(at, weights=own[:, kind], minlength=len(rows))
-        held.clear()
-
-    for k, text in enumerate(rows["text"]):
-        points = tokens(text)[1:]
-        n[k] = max(0, len(points) - ORDER + 1)
-        for part in pieces(points):
-            held.append((k, part))
-            size += len(part)
-            if size >= PIECE:
-                add()
-                size = 0
-    add()
-    both = np.round(sums / np.maximum(n, 1)[:, None], 6)
-    return pd.DataFrame({"id": rows["id"], "n_tokens": n, "target_loss": both[:, 0], "background_loss": both[:, 1], "score": np.round(both[:, 1] - both[:, 0], 6)})
+    known = F.col("t4") > 0
+    out = out.select("a", "b", loss("t").alias("target_loss"), loss("n").alias("background_loss"), *(F.when(known, F.coalesce(c, F.lit(0))).cast("int").alias(c) for c in COUNTS))
+    return out, total.first()["t0"]
+
+
+def own_counts(points: np.ndarray) -> dict[str, np.ndarray]:
+    """How much of ``COUNTS`` each token of a text (``tokens``) owes to the text itself."""
+    points = points.astype(np.int64)
+    code, out = points, {}
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            code = np.unique(code, return_inverse=True)[1][:-1] << POINT | points[k - 1 :]
+        # From the last start mark on, as n-grams are counted.
+        at, n = np.unique(code[ORDER - k :], return_inverse=True, return_counts=True)[1:]
+        n = n[at]
+        out[f"t{k}"] = n[1:]
+        if k < ORDER:
+            out[f"tb{k}"] = np.where(points[ORDER - 1 : -1] == START, 0, n[:-1]) if k == 1 else n[:-1]
+    return out
+
+
+def loss_without(counts: dict[str, np.ndarray], own: dict[str, np.ndarray], total: int) -> np.ndarray:
+    """The loss of each token under the target model less the text's own counts."""
+    p, below = np.full(len(own["t1"]), 1.0 / ALPHABET), total - len(own["t1"])
+    for k in range(1, ORDER + 1):
+        p = (counts[f"t{k}"] - own[f"t{k}"] + STRENGTH * p) / (below + STRENGTH)
+        below = counts[f"tb{k}"] - own[f"tb{k}"] if k < ORDER else 0
+    return -np.log2(p)
+
+
+def block_scorer(total: int):
+    """A function from a block of documents and the table of all its n-grams to the documents' scores."""
+
+    def score_block(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        n, sums = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), 2))
+        names = np.unique(np.concatenate([table["a"], table["b"]]))
+        keys = np.searchsorted(names, table["a"]) * len(names) + np.searchsorted(names, table["b"])
+        order = np.argsort(keys)
+        keys, values = keys[order], table[["target_loss", "background_loss"]].to_numpy(dtype=float)[order]
+        counts = {c: table[c].fillna(0).to_numpy(dtype=np.int64)[order] for c in COUNTS}
+        held, size = [], 0
+
+        def places(parts: list[np.ndarray]) -> np.ndarray:
+            a, b = windows(parts)
+            return np.searchsorted(keys, np.searchsorted(names, a) * len(names) + np.searchsorted(names, b))
+
+        def add() -> None:
+            if not held:
+                return
+            own = values[places([p for _, p in held])]
+            at = np.repeat([k for k, _ in held], [len(p) - ORDER + 1 for _, p in held])
+            for kind in (0, 1):
+                sums[:, kind] += np.bincount(at, weights=own[:, kind], minlength=len(rows))
+            held.clear()
+
+        for k, (text, target) in enumerate(zip(rows["text"], rows["target"], strict=True)):
+            marked = tokens(text)
+            points = marked[1:]
+            n[k] = max(0, len(points) - ORDER + 1)
+            if target and n[k]:
+                at = places([points])
+                sums[k] = loss_without({c: x[at] for c, x in counts.items()}, own_counts(marked), total).sum(), values[at, 1].sum()
+                continue
+            for part in pieces(points):
+                held.append((k, part))
+                size += len(part)
+                if size >= PIECE:
+                    add()
+                    size = 0
+        add()
+        both = np.round(sums / np.maximum(n, 1)[:, None], 6)
+        return pd.DataFrame({"id": rows["id"], "n_tokens": n, "target_loss": both[:, 0], "background_loss": both[:, 1], "score": np.round(both[:, 1] - both[:, 0], 6)})
+
+    return score_block
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (means over tokens, in bits) of every row."""
     ids = target.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct()
-    # The ids are broadcast only if a count says that there are few.
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    ids = broadcast_if_small(ids, 16)
     marked = bounded_batches(docs).join(ids, docs["doc_id"] == F.col("__id"), "left")
     # Ids go through pandas as strings, which keep nulls and long numbers.
     blocks = marked.select(docs["doc_id"].cast("string").alias("id"), docs["text"].cast("string").alias("text"), F.col("__id").isNotNull().alias("target"), F.shiftright(F.monotonically_increasing_id(), BLOCK).alias("block"))
     blocks = written(blocks, "blocks")
     counted = written(grams(blocks), "grams")
-    looked = counted.select("block", "a", "b").distinct().join(gram_losses(counted.select("a", "b", "t", "n")), ["a", "b"])
-    scored = blocks.select("block", "id", "text").groupBy("block").cogroup(looked.groupBy("block")).applyInPandas(score_block, f"id string, {SCHEMA}")
+    losses, total = gram_losses(counted.select("a", "b", "t", "n"))
+    looked = counted.select("block", "a", "b").distinct().join(losses, ["a", "b"])
+    scored = blocks.select("block", "id", "text", "target").groupBy("block").cogroup(looked.groupBy("block")).applyInPandas(block_scorer(total), f"id string, {SCHEMA}")
     return scored.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
