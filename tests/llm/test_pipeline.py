@@ -28,7 +28,7 @@ def test_each_stage_does_what_brute_force_does(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     texts = {}
     for i, t, *_ in rows:
-        m = Q.measured(t)
+        m = Q.Text(t)
         if not m.base_failed and not any(r.rejects(m) for r in Q.RULES):
             texts[i] = t
     groups = brute_groups([(i, t) for i, t in texts.items()], C.NEAR_PERCENT)

@@ -45,10 +45,11 @@ def test_empty_and_tiny_tables(spark):
     assert [(r["doc_id"], r["size"], r["text_crc32"], r["slot"]) for r in one] == [(1, 1, 0, 0)]
 
 
-def test_equal_rows_stay_together(spark):
+def test_rows_that_repeat_id_and_text_are_divided_too(spark):
     same = [(7, "all rows alike", "en", "s", 0)] * 9
     got = shard_documents(spark.createDataFrame(same, X.SCHEMA), 4).collect()
-    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(9))
+    per_shard = [sorted(r["slot"] for r in got if r["shard"] == k) for k in range(4)]
+    assert all(own == list(range(len(own))) for own in per_shard) and sorted(map(len, per_shard)) == [2, 2, 2, 3]
 
 
 def plain_best_fit(lengths, window):
@@ -127,3 +128,27 @@ def test_packing_is_an_exact_round_trip(spark, clashing):
 
 def test_nothing_to_pack(spark):
     assert P.pack(X.empty(spark)).count() == 0
+
+
+def test_splitters_are_those_of_a_sorted_list_and_repeated_rows_are_divided(spark):
+    from collections import Counter
+
+    from skeinwork.llm import sharding as S
+
+    rng = random.Random(5)
+    rows = [(k, X.sentence(rng, rng.randrange(1, 60))) for k in range(600)] + [(7, "hot row " * 10)] * 900 + [(None, None)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = S.keyed(df).toPandas().sort_values(["k1", "k2"])
+    got = S.find_splitters(spark.createDataFrame(keys[["k1", "k2", "size"]]), 8, 0.0)
+    total, below = int(keys["size"].sum()), keys["size"].cumsum()
+    for j, (a, b) in enumerate(got, 1):
+        under = int(keys["size"][(keys["k1"] < a) | ((keys["k1"] == a) & (keys["k2"] < b))].sum())
+        nearest = min(abs(int(x) - total * j // 8) for x in [0, *below])
+        assert abs(under - total * j // 8) <= max(1, nearest)
+    out = S.shard_documents(df, 8, range_bytes=1 << 12, carry_text=False).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 2 * max(len((t or "").encode()) + 1 for _, t in rows)
+    for shard in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
