@@ -56,18 +56,62 @@ def tokens(text: str | None) -> np.ndarray:
     return np.concatenate([np.full(ORDER, START, dtype=np.uint32), points, np.array([END], dtype=np.uint32)])
 
 
+def within(parts: list[np.ndarray]) -> np.ndarray:
+    """Where n-grams of ``ORDER`` characters of the joined parts do not reach across two of them."""
+    ends = np.cumsum([len(p) for p in parts])
+    inside = np.ones(ends[-1] - ORDER + 1, dtype=bool)
+    for k in range(1, ORDER):
+        inside[ends[:-1] - k] = False
+    return inside
+
+
 def windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The first and the second pair of every n-gram of ``ORDER`` characters, part by part, none across two parts."""
     points = np.concatenate(parts).astype(np.int64)
     pairs = points[:-1] << POINT | points[1:]
-    inside = np.ones(len(points) - ORDER + 1, dtype=bool)
-    ends = np.cumsum([len(p) for p in parts])[:-1]
-    for k in range(1, ORDER):
-        inside[ends - k] = False
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(within(parts))
     return pairs[at], pairs[at + 2]
 
 
+class Alphabet:
+    """Short names of the characters of a block, so that an n-gram is one number."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        there = np.zeros(END + 1, dtype=bool)
+        there[points] = True
+        self.points = np.flatnonzero(there)
+        self.bits = max(1, (len(self.points) - 1).bit_length())
+        self.place = (np.cumsum(there) - 1).astype(np.uint64)
+
+    def fits(self) -> bool:
+        return ORDER * self.bits <= 64
+
+    def keys(self, points: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """The n-gram of ``order`` characters from each place on."""
+        own, out = self.place[points], 0
+        for k in range(order):
+            out = (out << np.uint64(self.bits) if k else np.uint64(0)) | own[k : len(own) - order + 1 + k]
+        return out
+
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = [self.points[(keys >> np.uint64(self.bits * (ORDER - 1 - k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)] for k in range(ORDER)]
+        return x[0] << POINT | x[1], x[2] << POINT | x[3]
+
+
+def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of each different n-gram of ``ORDER`` characters of the parts, and how often it occurs."""
+    points = np.concatenate(parts)
+    names = Alphabet(points)
+    if not names.fits():
+        a, b = windows(parts)
+        a, b, _, n = summed(a, b, np.zeros(len(a)), np.ones(len(a)))
+        return a, b, n
+    keys = names.keys(points)[within(parts)]
+    keys.sort()
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return *names.pairs(keys[at]), np.diff(np.append(at, len(keys)))
+
+
 def pieces(points: np.ndarray) -> Iterator[np.ndarray]:
     """Parts of a text with ``ORDER - 1`` characters of overlap, so that every n-gram is in one of them."""
     for start in range(0, max(0, len(points) - ORDER + 1), PIECE):
@@ -93,8 +137,8 @@ def grams(blocks: DataFrame) -> DataFrame:
                 def add() -> None:
                     for kind in (0, 1):
                         if held[kind]:
-                            a, b = windows(held[kind])
-                            found.append(summed(a, b, np.full(len(a), kind), np.ones(len(a))))
+                            a, b, n = distinct(held[kind])
+                            found.append((a, b, n * kind, n))
                             held[kind].clear()
 
                 for text, wanted in zip(rows["text"], rows["target"], strict=True):
@@ -179,16 +223,26 @@ def block_scorer(total: int):
 
     def score_block(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         n, sums = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), 2))
-        names = np.unique(np.concatenate([table["a"], table["b"]]))
-        keys = np.searchsorted(names, table["a"]) * len(names) + np.searchsorted(names, table["b"])
+        a, b, low = table["a"].to_numpy(), table["b"].to_numpy(), (1 << POINT) - 1
+        alphabet = Alphabet(np.concatenate([[START, END], a >> POINT, a & low, b >> POINT, b & low]))
+        names = np.unique(np.concatenate([a, b]))
+
+        def key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            if not alphabet.fits():
+                return np.searchsorted(names, a) * len(names) + np.searchsorted(names, b)
+            x, bits = alphabet.place, np.uint64(alphabet.bits)
+            return ((x[a >> POINT] << bits | x[a & low]) << bits | x[b >> POINT]) << bits | x[b & low]
+
+        keys = key(a, b)
         order = np.argsort(keys)
         keys, values = keys[order], table[["target_loss", "background_loss"]].to_numpy(dtype=float)[order]
         counts = {c: table[c].fillna(0).to_numpy(dtype=np.int64)[order] for c in COUNTS}
         held, size = [], 0
 
         def places(parts: list[np.ndarray]) -> np.ndarray:
-            a, b = windows(parts)
-            return np.searchsorted(keys, np.searchsorted(names, a) * len(names) + np.searchsorted(names, b))
+            if alphabet.fits():
+                return np.searchsorted(keys, alphabet.keys(np.concatenate(parts))[within(parts)])
+            return np.searchsorted(keys, key(*windows(parts)))
 
         def add() -> None:
             if not held:
