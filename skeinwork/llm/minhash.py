@@ -14,8 +14,8 @@ bucket; confirmed links make components. Only the members of buckets that still
 component are looked at again, all of them together and by an exact way: a pair that reaches the threshold
 shares one of the first shingles of each, in any fixed order, that are too many to be missed (of n shingles
 ``n - ceil(percent * n / 100) + 1``). The rarest come first, so what many texts have in common brings
-none of them together. Those that share such a shingle are estimated, and what could reach the threshold is
-confirmed; a shingle that very many have is dealt out in blocks. Any pair that is skipped is joined already,
+none of them together. Of those that share such a shingle only what the estimate says could reach the threshold leaves the join, and
+is confirmed; a shingle that very many have is dealt out in blocks, and one that lies in one component is left out. Any pair that is skipped is joined already,
 so components are exact but for the chance that no band or an estimate outside its margin misses a link:
 below 1e-5 for a pair at the threshold.
 
@@ -42,8 +42,10 @@ WIDTH = 5
 HASHES = 252
 KEPT_BITS = 4
 LONGS = 16
-#: How far below the threshold an estimate may lie: about 4.5 standard deviations.
-MARGIN = 0.105
+#: The longer signature of members of unsettled buckets: more minima, of fewer bits each.
+FINE_HASHES, FINE_BITS = 1024, 2
+#: How far below the threshold an estimate may lie: about 4.5 standard deviations of each signature.
+MARGIN, FINE_MARGIN = 0.105, 0.065
 #: Members of a shingle's group that one task compares with as many others.
 GROUP = 1000
 #: A bucket's members are compared with its least and greatest ids, and the least after these flips of bits.
@@ -53,6 +55,8 @@ CACHED_WORDS = 200_000
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_FINE_MUL = (_RNG.integers(0, 1 << 31, FINE_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_FINE_ADD = _RNG.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint32)
 _MIX = (_RNG.integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -94,13 +98,13 @@ class Shingler:
         return np.unique(h), words
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     x = shingles.astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(len(mul), 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
         for start in range(0, len(x), 1024):
-            values = np.multiply.outer(_MUL, x[start : start + 1024])
-            values += _ADD[:, None]
+            values = np.multiply.outer(mul, x[start : start + 1024])
+            values += add[:, None]
             np.minimum(least, values.min(axis=1), out=least)
     return least
 
@@ -115,15 +119,15 @@ def band_keys(least: np.ndarray, each: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def packed(least: np.ndarray) -> np.ndarray:
+def packed(least: np.ndarray, bits: int = KEPT_BITS, longs: int = LONGS) -> np.ndarray:
     """The low bits of every minimum (mixed, so that they are fair), side by side in 64-bit numbers."""
-    each = 8 // KEPT_BITS
-    low = np.zeros(LONGS * 64 // KEPT_BITS, dtype=np.uint8)
+    each = 8 // bits
+    low = np.zeros(longs * 64 // bits, dtype=np.uint8)
     with np.errstate(over="ignore"):
-        low[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - KEPT_BITS)
-    out = np.zeros(LONGS * 8, dtype=np.uint8)
+        low[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    out = np.zeros(longs * 8, dtype=np.uint8)
     for k in range(each):
-        out |= low[k::each] << (KEPT_BITS * k)
+        out |= low[k::each] << (bits * k)
     return out.view(np.int64)
 
 
@@ -151,21 +155,23 @@ def _signatures(each: int):
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "grams": [shingler.shingles(text)[0].view(np.int64) for text in batch["text"]]})
+        found = [shingler.shingles(text)[0] for text in batch["text"]]
+        fine = [packed(minima(x, _FINE_MUL, _FINE_ADD), FINE_BITS, FINE_HASHES * FINE_BITS // 64) for x in found]
+        yield pd.DataFrame({"id": batch["id"], "grams": [x.view(np.int64) for x in found], "fine": fine})
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = KEPT_BITS, longs: int = LONGS) -> Column:
     """The share of minima that agree in their kept bits, corrected for those that agree by chance."""
-    ones = sum(1 << k for k in range(0, 64, KEPT_BITS))  # the lowest bit of each group
+    ones = sum(1 << k for k in range(0, 64, bits))  # the lowest bit of each group
     differing = F.lit(0)
-    for k in range(LONGS):
-        x, step = a[k].bitwiseXOR(b[k]), KEPT_BITS // 2
+    for k in range(longs):
+        x, step = a[k].bitwiseXOR(b[k]), bits // 2
         while step:
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
             step //= 2
         differing = differing + F.bit_count(x.bitwiseAND(F.lit(ones)))
-    chance = 2.0**-KEPT_BITS
-    return ((F.lit(HASHES) - differing) / F.lit(float(HASHES)) - chance) / (1.0 - chance)
+    chance = 2.0**-bits
+    return ((F.lit(hashes) - differing) / F.lit(float(hashes)) - chance) / (1.0 - chance)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -193,25 +199,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def sharing_rare_shingles(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle which no pair at the threshold can all lack.
+    """Pairs (a, b) of different components that share a shingle which no pair at the threshold can all lack, and look alike.
 
     ``members`` has id and component, ``texts`` their texts.
     """
-    sets = written(texts.join(members, "id").select("id", "text").mapInPandas(_sets, "id long, grams array<long>"), "sets")
+    sets = written(texts.join(members, "id").select("id", "text").mapInPandas(_sets, "id long, grams array<long>, fine array<long>"), "sets")
     each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("often"))
     # A window is one text's shingles.
     ranked = each.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "gram")))
     first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & (F.col("often") > 1))
     first = written(first.join(members, "id").select("gram", "id", "n", "component", "often"), "first-shingles")
+    # A pair leaves the join at the first of its shingles only.
+    own = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram")))["gram"].alias("firsts"))
+    open_ = first.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("gram")
     # A group of more than GROUP members is cut into blocks, and every two blocks meet in a task of their own.
     blocks = F.ceil(F.col("often") / GROUP)
-    dealt = first.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", "id", "n", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = first.join(open_, "gram").join(own, "id").join(sets.select("id", "fine"), "id").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", "id", "n", "component", "fine", "firsts", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     a, b = dealt.alias("a"), dealt.alias("b")
-    met = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    # Two of one block meet where it meets itself.
+    apart = (F.col("a.low") == F.col("a.high")) | (F.col("a.own") != F.col("b.own"))
+    met = apart & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    met = met & (estimate(F.col("a.fine"), F.col("b.fine"), FINE_HASHES, FINE_BITS, FINE_HASHES * FINE_BITS // 64) >= percent / 100.0 - FINE_MARGIN)
+    met = met & (F.element_at(F.array_intersect("a.firsts", "b.firsts"), 1) == F.col("a.gram"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "low", "high")]
-    return a.join(b, same[0] & same[1] & same[2] & met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return a.join(b, same[0] & same[1] & same[2] & met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def linked(docs: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +261,7 @@ def linked(docs: DataFrame, percent: int) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
     unsettled = written(placed.join(mixed, "key").select("id", "component").distinct(), "unsettled")
     rest_pairs = sharing_rare_shingles(unsettled, texts, percent).join(star, ["a", "b"], "left_anti")
-    more = written(confirmed(promising(rest_pairs), texts, percent), "links")
+    more = written(confirmed(rest_pairs, texts, percent), "links")
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     reach = reps.select("h1", "h2", "least", "id").join(components(every).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = reach.groupBy("component").agg(F.min("least").alias("component_id"))
