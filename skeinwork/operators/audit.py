@@ -23,8 +23,8 @@ def terms(hits: DataFrame, least: int = 1, containing: str | None = None) -> Dat
 
 
 def samples(hits: DataFrame, messages: DataFrame, each: int = 3, seed: int = 0) -> DataFrame:
-    """A few hits of each term, by a seeded hash, with the surface and the head of the message."""
-    order = Window.partitionBy("rule_id", "term").orderBy(F.xxhash64("dialog_id", "msg_id", F.lit(seed)), "dialog_id", "msg_id")
+    """A few hits of each term, by a seeded hash of the ids, with the surface and the head of the message."""
+    order = Window.partitionBy("rule_id", "term").orderBy(S.fnv_of_ids(F.col("dialog_id"), F.col("msg_id")).bitwiseXOR(F.lit(seed)), "dialog_id", "msg_id")
     few = hits.select("rule_id", "term", "dialog_id", "msg_id", "surface").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
     return few.join(messages.select("dialog_id", "msg_id", "text"), ["dialog_id", "msg_id"]).select(
         "rule_id", "term", "nth", "dialog_id", "msg_id", F.coalesce("surface", F.lit("")).alias("surface"), S.head(F.col("text"), 110).alias("head")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.functions import scalars as S
-from skeinwork.params import Params
+from skeinwork.params import DAY, Params
+
+#: The day of dialogs whose first date is unknown: before all others.
+NO_DAY = -(1 << 40)
 
 # Mean seconds between chunks, between dialogs, for a message, for a break, and chunks between breaks.
 BETWEEN_CHUNKS, BETWEEN_DIALOGS, A_MESSAGE, A_BREAK, CHUNKS_A_BREAK = 30.0, 135.0, 0.475, 450.0, 75.0
@@ -43,10 +46,12 @@ def budgeted(chunks: DataFrame, dialogs: DataFrame, most: int | None) -> DataFra
     ordered = chunks.join(dialogs.select("dialog_id", "oldest", "peer_ok"), "dialog_id")
     if most is not None:
         ordered = ordered.orderBy("oldest", "dialog_id", "chunk").limit(most)
-    ahead = Window.orderBy("oldest", "dialog_id").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ordered.groupBy("dialog_id", "oldest").agg(F.count("*").alias("n"))
-    # Numbers come from counts by dialog: the chunks themselves are not gathered.
-    before = counts.select("dialog_id", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
+    # Numbers come from counts: of the days before a dialog's first, and of the dialogs before it on that day.
+    counts = ordered.groupBy("dialog_id", "oldest").agg(F.count("*").alias("n")).withColumn("day", F.coalesce(F.floor(F.col("oldest") / DAY), F.lit(NO_DAY)))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    days = counts.groupBy("day").agg(F.sum("n").alias("n")).select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    ahead = Window.partitionBy("day").orderBy("oldest", "dialog_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.join(days, "day").select("dialog_id", (F.col("earlier") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("__before"))
     return ordered.join(before, "dialog_id").withColumn("number", F.col("__before") + F.row_number().over(Window.partitionBy("dialog_id").orderBy("chunk"))).drop("__before")
 
 

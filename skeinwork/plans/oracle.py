@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from skeinwork.plans import cases
+
 from skeinwork.functions.matcher import BUNDLED
 from skeinwork.plans.corpus import NOW, PACK, PROMPT
 
@@ -131,6 +133,7 @@ def _listed(source: str) -> str:
 
 
 _FNV = "list_reduce([2166136261::UBIGINT, " + ", ".join([f"((dialog_id >> {8 * k}) & 255)::UBIGINT" for k in range(8)] + [f"((from_id::BIGINT >> {8 * k}) & 255)::UBIGINT" for k in range(4)]) + "], lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+_FNV_HIT = "list_reduce([2166136261::UBIGINT, " + ", ".join([f"((h.dialog_id >> {8 * k}) & 255)::UBIGINT" for k in range(8)] + [f"((h.msg_id::BIGINT >> {8 * k}) & 255)::UBIGINT" for k in range(4)]) + "], lambda a, b: (xor(a, b) * 16777619) % 4294967296)"
 _IN_RUN = "x.dialog_id = r.dialog_id AND x.window_from = r.window_from AND x.window_to = r.window_to AND x.model = r.model"
 
 STATEMENTS = {
@@ -224,6 +227,10 @@ STATEMENTS = {
     "audit_terms": """
       SELECT axis, rule_id, term, count(*) AS n, count(DISTINCT dialog_id) AS dialogs, max(here) AS most, round(max(here) / count(*), 6) AS share FROM (
         SELECT axis, rule_id, term, dialog_id, count(*) OVER (PARTITION BY rule_id, term, dialog_id) AS here FROM hits) GROUP BY axis, rule_id, term HAVING count(*) >= 5 AND contains(axis || ' ' || rule_id || ' ' || term, 's')""",
+    "audit_samples": f"""
+      SELECT rule_id, term, CAST(nth AS INTEGER) AS nth, x.dialog_id, x.msg_id, coalesce(surface, '') AS surface, left(replace(text, chr(10), ' '), 110) AS head FROM (
+        SELECT rule_id, term, h.dialog_id, h.msg_id, surface, row_number() OVER (PARTITION BY rule_id, term ORDER BY {_FNV_HIT}, h.dialog_id, h.msg_id) AS nth FROM hits h) x
+      JOIN msgs m ON m.dialog_id = x.dialog_id AND m.msg_id = x.msg_id WHERE nth <= 3""",
     "audit_rules": """
       SELECT rule_id, term, count(*) AS n, CAST(count(*) FILTER (cut) AS BIGINT) AS cut, round(count(*) FILTER (cut) / count(*), 6) AS share FROM (
         SELECT h.*, EXISTS (SELECT 1 FROM cutm x WHERE x.model = 'alpha' AND x.dialog_id = h.dialog_id AND x.msg_id = h.msg_id) AS cut FROM hits h
@@ -244,4 +251,4 @@ STATEMENTS = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(body) for name, body in STATEMENTS.items()}
+    return {name: statement(body) for name, body in STATEMENTS.items()} | cases.oracle_sql()

@@ -15,6 +15,7 @@ from skeinwork.operators import audit, chunks, diff, evaluate, plan, scan, windo
 from skeinwork.operators.positions import with_positions
 from skeinwork.operators.render import render
 from skeinwork.params import Params
+from skeinwork.plans import cases
 from skeinwork.plans import corpus as C
 from skeinwork.plans.policy import ENGLISH
 from skeinwork.sources import export, store
@@ -236,6 +237,7 @@ def queries() -> dict[str, Query]:
         "age_tiers": tiers,
         "positions": messages_sample,
         "term_scan": term_scan,
+        **cases.queries(),
         "ingest_messages": ingest_export,
         "ingest_dialogs": ingest_dialogs,
         "upsert_dialogs": upsert,

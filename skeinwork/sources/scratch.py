@@ -13,12 +13,14 @@ UNSET = "unset"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (a single machine, tests) a temporary folder takes its place.
+    Only where that is unset and everything runs on one machine (tests) a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", UNSET)
     if found != UNSET:
         return found.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skeinwork-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

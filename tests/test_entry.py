@@ -8,7 +8,7 @@ import sys
 class No:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("skeinwork.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, No())
 import __spark_entry__ as e
 names = set(e.queries())
@@ -21,6 +21,12 @@ def test_the_entry_works_without_the_llm_subpackage():
     subprocess.run([sys.executable, "-c", BLOCKED], cwd=ROOT, check=True, timeout=120)
 
 
+def test_a_missing_library_is_not_taken_for_a_missing_subpackage():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    found = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert found.returncode and "xxhash" in found.stderr
+
+
 def test_nothing_outside_imports_the_llm_subpackage():
     for p in (ROOT / "skeinwork").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT / "skeinwork").parts:
