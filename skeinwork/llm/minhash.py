@@ -10,14 +10,13 @@ groups of bits, corrected for chance collisions. Whatever could reach the thresh
 full sets.
 
 Buckets are never expanded into all their pairs. First every member is compared with four members of its
-bucket; confirmed links make components. Only the members of buckets that still hold more than one
-component are looked at again, all of them together and by an exact way: a pair that reaches the threshold
-shares one of the first shingles of each, in any fixed order, that are too many to be missed (of n shingles
-``n - ceil(percent * n / 100) + 1``). The rarest come first, so what many texts have in common brings
-none of them together. Of those that share such a shingle only what the estimate says could reach the threshold leaves the join, and
-is confirmed; a shingle that very many have is dealt out in blocks, and one that lies in one component is left out. Any pair that is skipped is joined already,
-so components are exact but for the chance that no band or an estimate outside its margin misses a link:
-below 1e-5 for a pair at the threshold.
+bucket; confirmed links make components. Only the members of buckets that still hold more than one component
+get a longer signature, and meet within their buckets: a bucket of more than ``GROUP`` members is cut into
+blocks, and every two blocks meet in a group of their own, so no task has more than the square of that. Of a
+pair in several buckets only one, and only pairs of different components whose longer estimate is high
+enough, leave the join, and are confirmed. Any pair that is skipped is joined already, so components are
+exact but for the chance that no band or an estimate outside its margin misses a link: below 1e-5 for a pair
+at the threshold.
 
 Edges: null or blank texts link with nothing; a text may be of any length; repeated rows and copies are one
 class; an id that comes with several texts is judged text by text, and each of these may link; rows with a null
@@ -46,7 +45,7 @@ LONGS = 16
 FINE_HASHES, FINE_BITS = 1024, 2
 #: How far below the threshold an estimate may lie: about 4.5 standard deviations of each signature.
 MARGIN, FINE_MARGIN = 0.105, 0.065
-#: Members of a shingle's group that one task compares with as many others.
+#: Members of a bucket that are compared with as many others in one group.
 GROUP = 1000
 #: A bucket's members are compared with its least and greatest ids, and the least after these flips of bits.
 FLIPS = (0x2AAAAAAAAAAAAAAA, 0x1999999999999999)
@@ -152,12 +151,12 @@ def _signatures(each: int):
     return sign
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fine_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for batch in batches:
         found = [shingler.shingles(text)[0] for text in batch["text"]]
         fine = [packed(minima(x, _FINE_MUL, _FINE_ADD), FINE_BITS, FINE_HASHES * FINE_BITS // 64) for x in found]
-        yield pd.DataFrame({"id": batch["id"], "grams": [x.view(np.int64) for x in found], "fine": fine})
+        yield pd.DataFrame({"id": batch["id"], "n": [len(x) for x in found], "fine": fine})
 
 
 def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = KEPT_BITS, longs: int = LONGS) -> Column:
@@ -198,33 +197,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInPandas(verify, "a long, b long")
 
 
-def sharing_rare_shingles(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle which no pair at the threshold can all lack, and look alike.
-
-    ``members`` has id and component, ``texts`` their texts.
-    """
-    sets = written(texts.join(members, "id").select("id", "text").mapInPandas(_sets, "id long, grams array<long>, fine array<long>"), "sets")
-    each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    often = each.groupBy("gram").agg(F.count("*").alias("often"))
-    # A window is one text's shingles.
-    ranked = each.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "gram")))
-    first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & (F.col("often") > 1))
-    first = written(first.join(members, "id").select("gram", "id", "n", "component", "often"), "first-shingles")
-    # A pair leaves the join at the first of its shingles only.
-    own = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram")))["gram"].alias("firsts"))
-    open_ = first.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("gram")
-    # A group of more than GROUP members is cut into blocks, and every two blocks meet in a task of their own.
-    blocks = F.ceil(F.col("often") / GROUP)
-    dealt = first.join(open_, "gram").join(own, "id").join(sets.select("id", "fine"), "id").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", "id", "n", "component", "fine", "firsts", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+def meeting(unsettled: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and look alike; ``unsettled`` has key, id and component."""
+    # A class is in at most one bucket for each band.
+    own_keys = unsettled.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    fine = texts.join(own_keys.select("id"), "id", "left_semi").mapInPandas(_fine_signatures, "id long, n long, fine array<long>")
+    often = unsettled.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+    rest = written(unsettled.join(own_keys, "id").join(fine, "id").join(often, "key"), "unsettled")
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "n", "component", "fine", "keys", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     a, b = dealt.alias("a"), dealt.alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
     # Two of one block meet where it meets itself.
     apart = (F.col("a.low") == F.col("a.high")) | (F.col("a.own") != F.col("b.own"))
     met = apart & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
     met = met & (estimate(F.col("a.fine"), F.col("b.fine"), FINE_HASHES, FINE_BITS, FINE_HASHES * FINE_BITS // 64) >= percent / 100.0 - FINE_MARGIN)
-    met = met & (F.element_at(F.array_intersect("a.firsts", "b.firsts"), 1) == F.col("a.gram"))
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "low", "high")]
-    return a.join(b, same[0] & same[1] & same[2] & met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = met & (F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key"))
+    return a.join(b, same & met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def linked(docs: DataFrame, percent: int) -> DataFrame:
@@ -239,10 +228,12 @@ def linked(docs: DataFrame, percent: int) -> DataFrame:
     # Any row of a class has its bands and signature; its texts differ in white space and case at most.
     firsts = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = written(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "least", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "bands", "sig"), "classes")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = reps.select("id", "least", F.explode("bands").alias("key"))
     flipped = [F.min(F.col("id").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias(f"other{k}") for k, flip in enumerate(FLIPS)]
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *flipped).filter("low <> high")
-    members = written(keyed.join(buckets, "key"), "buckets")
+    # The class with the least doc_id is among the four: copies tend to come after what they are copies of.
+    by_age = F.struct("least", "id")
+    buckets = keyed.groupBy("key").agg(F.min_by("id", by_age).alias("low"), F.max_by("id", by_age).alias("high"), *flipped).filter("low <> high")
+    members = written(keyed.drop("least").join(buckets, "key"), "buckets")
     sigs = reps.select("id", "sig")
     # Only texts of classes in shared buckets are compared, one of each class.
     shared = reps.select("id", "k1", "k2").join(members.select("id").distinct(), "id", "left_semi")
@@ -259,8 +250,8 @@ def linked(docs: DataFrame, percent: int) -> DataFrame:
     near = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(near.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-    unsettled = written(placed.join(mixed, "key").select("id", "component").distinct(), "unsettled")
-    rest_pairs = sharing_rare_shingles(unsettled, texts, percent).join(star, ["a", "b"], "left_anti")
+    unsettled = written(placed.join(mixed, "key"), "unsettled")
+    rest_pairs = meeting(unsettled, texts, percent).join(star, ["a", "b"], "left_anti")
     more = written(confirmed(rest_pairs, texts, percent), "links")
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     reach = reps.select("h1", "h2", "least", "id").join(components(every).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
