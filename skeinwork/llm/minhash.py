@@ -206,6 +206,8 @@ def meeting(unsettled: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rest = written(unsettled.join(own_keys, "id").join(fine, "id").join(often, "key"), "unsettled")
     dealt = rest.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "n", "component", "fine", "keys", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    # Few bytes stand for much work here, so the number of partitions is given.
+    dealt = dealt.repartition(int(unsettled.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high")
     a, b = dealt.alias("a"), dealt.alias("b")
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
     # Two of one block meet where it meets itself.
