@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.functions import scalars as S
+from skeinwork.operators.positions import BLOCK, numbered
 from skeinwork.params import DAY, Params
 
 #: The day of dialogs whose first date is unknown: before all others.
@@ -28,12 +29,13 @@ def deletable(plan: DataFrame, dialogs: DataFrame, placed: DataFrame, log: DataF
 
 def chunked(rows: DataFrame, p: Params) -> DataFrame:
     """Stretches of neighbouring positions, cut at the largest size; one row for each chunk."""
-    order = Window.partitionBy("dialog_id").orderBy("pos")
-    island = rows.withColumn("__n", F.row_number().over(order)).withColumn("__island", F.col("pos") - F.col("__n"))
-    nth = F.row_number().over(Window.partitionBy("dialog_id", "__island").orderBy("pos"))
-    parts = island.withColumn("__part", F.floor((nth - 1) / p.max_range))
+    island = numbered(rows, "pos", "__nth").withColumn("__island", F.col("pos") - F.col("__nth")).withColumn("__block", F.floor(F.col("pos") / BLOCK))
+    # A stretch may be a whole dialog: its start comes from its blocks and goes to its rows block by block.
+    whole = Window.partitionBy("dialog_id", "__island")
+    starts = island.groupBy("dialog_id", "__island", "__block").agg(F.min("pos").alias("start")).withColumn("__start", F.min("start").over(whole)).drop("start")
+    parts = island.join(starts, ["dialog_id", "__island", "__block"]).withColumn("__part", F.floor((F.col("pos") - F.col("__start")) / p.max_range))
     out = parts.groupBy("dialog_id", "__island", "__part").agg(F.min("pos").alias("__pos"), F.min("msg_id").alias("first_id"), F.max("msg_id").alias("last_id"), F.count("*").alias("messages"), F.sort_array(F.collect_list("msg_id")).alias("ids"))
-    return out.withColumn("chunk", F.row_number().over(Window.partitionBy("dialog_id").orderBy("__pos"))).drop("__island", "__part", "__pos")
+    return numbered(out, "__pos", "chunk").withColumn("chunk", (F.col("chunk") + 1).cast("int")).drop("__island", "__part", "__pos")
 
 
 def by_dialog(rows: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def by_dialog(rows: DataFrame) -> DataFrame:
 
 
 def budgeted(chunks: DataFrame, dialogs: DataFrame, most: int | None) -> DataFrame:
-    """The first chunks over all dialogs in order, with their number in the run."""
+    """The first chunks over all dialogs in order, with their number in the run; a dialog's chunks are numbered from 1."""
     ordered = chunks.join(dialogs.select("dialog_id", "oldest", "peer_ok"), "dialog_id")
     if most is not None:
         ordered = ordered.orderBy("oldest", "dialog_id", "chunk").limit(most)
@@ -52,7 +54,7 @@ def budgeted(chunks: DataFrame, dialogs: DataFrame, most: int | None) -> DataFra
     days = counts.groupBy("day").agg(F.sum("n").alias("n")).select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
     ahead = Window.partitionBy("day").orderBy("oldest", "dialog_id").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.join(days, "day").select("dialog_id", (F.col("earlier") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("__before"))
-    return ordered.join(before, "dialog_id").withColumn("number", F.col("__before") + F.row_number().over(Window.partitionBy("dialog_id").orderBy("chunk"))).drop("__before")
+    return ordered.join(before, "dialog_id").withColumn("number", F.col("__before") + F.col("chunk")).drop("__before")
 
 
 def states(log: DataFrame) -> DataFrame:

@@ -18,14 +18,19 @@ from skeinwork.sources.scratch import written
 BLOCK = 1 << 16
 
 
-def with_positions(messages: DataFrame) -> DataFrame:
-    """Add pos, from 0 in each dialog by msg_id."""
-    rows = messages.withColumn("__block", F.floor(F.col("msg_id") / BLOCK))
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Add ``name``, from 0 in each dialog by the whole number ``by``."""
+    rows = rows.withColumn("__block", F.floor(F.col(by) / BLOCK))
     ahead = Window.partitionBy("dialog_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("dialog_id", "__block").agg(F.count("*").alias("n")).select("dialog_id", "__block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("dialog_id", "__block").orderBy("msg_id")
+    within = Window.partitionBy("dialog_id", "__block").orderBy(by)
     placed = rows.withColumn("__n", F.row_number().over(within)).join(before, ["dialog_id", "__block"])
-    return placed.withColumn("pos", F.col("__before") + F.col("__n") - 1).drop("__block", "__n", "__before")
+    return placed.withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__block", "__n", "__before")
+
+
+def with_positions(messages: DataFrame) -> DataFrame:
+    """Add pos, from 0 in each dialog by msg_id."""
+    return numbered(messages, "msg_id", "pos")
 
 
 def bounded(ranges: DataFrame, placed: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -39,12 +44,17 @@ def bounded(ranges: DataFrame, placed: DataFrame, lo: str = "lo", hi: str = "hi"
     own = ends.join(ids.select("dialog_id", F.col("__id").cast("long").alias("v"), "__pos"), ["dialog_id", "v"], "left")
     direct = own.filter("__pos IS NOT NULL").select("dialog_id", "v", "kind", F.col("__pos").alias("at"))
     astray = own.filter("__pos IS NULL").select("dialog_id", "v", "kind", F.lit(None).cast("long").alias("pos"))
-    # What is astray is placed by a running maximum over its dialog's messages.
-    astray = written(astray, "astray")
-    some = ids.join(astray.select("dialog_id").distinct(), "dialog_id", "left_semi").select("dialog_id", F.col("__id").cast("long").alias("v"), F.lit(1).alias("kind"), F.col("__pos").alias("pos"))
-    order = Window.partitionBy("dialog_id").orderBy("v", "kind")
-    last = F.coalesce(F.max("pos").over(order), F.lit(-1))
-    found = some.unionByName(astray).select("dialog_id", "v", "kind", "pos", last.alias("last")).filter("kind <> 1")
+    # What is astray comes after the messages before it in its block of ids or, without any, after those of earlier blocks.
+    block = F.floor(F.col("v") / BLOCK).alias("__block")
+    astray = written(astray.withColumn("__block", block), "astray")
+    blocks = astray.select("dialog_id", "__block").distinct()
+    own_blocks = ids.select("dialog_id", F.col("__id").cast("long").alias("v"), F.lit(1).alias("kind"), F.col("__pos").alias("pos")).withColumn("__block", block)
+    order = Window.partitionBy("dialog_id", "__block").orderBy("v", "kind")
+    found = own_blocks.join(blocks, ["dialog_id", "__block"], "left_semi").unionByName(astray).withColumn("within", F.max("pos").over(order)).filter("kind <> 1")
+    tops = own_blocks.select("dialog_id", "__block", "pos").unionByName(blocks.withColumn("pos", F.lit(None).cast("long"))).groupBy("dialog_id", "__block").agg(F.max("pos").alias("top"))
+    ahead = Window.partitionBy("dialog_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("dialog_id", "__block", F.max("top").over(ahead).alias("earlier"))
+    found = found.join(tops, ["dialog_id", "__block"]).withColumn("last", F.coalesce("within", "earlier", F.lit(-1)))
     placed_ends = direct.unionByName(found.select("dialog_id", "v", "kind", F.when(F.col("kind") == 0, F.col("last") + 1).otherwise(F.col("last")).alias("at")))
     starts = placed_ends.filter("kind = 0").select("dialog_id", F.col("v").alias("__lo"), F.col("at").alias("first_pos"))
     stops = placed_ends.filter("kind = 2").select("dialog_id", F.col("v").alias("__hi"), F.col("at").alias("last_pos"))

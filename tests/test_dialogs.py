@@ -87,6 +87,15 @@ def test_members_of_ranges_whose_ends_are_no_messages(spark):
     assert bounded(r, placed).count() == 2
 
 
+def test_range_ends_between_blocks_of_ids(spark):
+    # Ids in several blocks, one of them empty, and ends in blocks with and without messages before them.
+    ids = {1: [10, 65_535, 65_536, 140_000, 330_000], 2: [200_000]}
+    placed = with_positions(messages(spark, [{"dialog_id": d, "msg_id": i} for d, own in ids.items() for i in own]))
+    spots = [(d, lo, hi) for d in ids for lo in (0, 11, 65_530, 65_537, 196_700, 329_999, 400_000) for hi in (5, 65_534, 65_536, 139_999, 262_150, 330_001)]
+    got = sorted((x["dialog_id"], x["lo"], x["hi"], x["msg_id"]) for x in members(spark.createDataFrame(spots, "dialog_id long, lo int, hi int"), placed).collect())
+    assert got == sorted((d, lo, hi, i) for d, lo, hi in spots for i in ids[d] if lo <= i <= hi)
+
+
 def sample_of(spark):
     rows = [(1, 1, ["a"]), (1, 50, ["a"]), (2, 1, ["a"]), (3, 1, ["b"])]
     return spark.createDataFrame([(d, f, f + 9, [f], x, "T0", [], 10, 100, 50 * (k + 1), ["old"] if k else ["new"]) for k, (d, f, x) in enumerate(rows)],
@@ -177,6 +186,15 @@ def test_chunks_break_at_gaps_and_at_the_limit(spark):
     assert [r["messages"] for r in got] == [100, 100, 5, 1]
 
 
+def test_a_stretch_over_blocks_of_positions_is_cut_from_its_start(spark):
+    rows = spark.range(131_100).filter("id <> 7").selectExpr("1L AS dialog_id", "id AS pos", "CAST(id AS INT) AS msg_id")
+    got = chunks.chunked(rows, Params(now=NOW)).orderBy("chunk").collect()
+    size = Params(now=NOW).max_range
+    firsts = [0, *range(8, 131_100, size)]
+    assert [(r["chunk"], r["first_id"]) for r in got] == list(enumerate(firsts, 1))
+    assert sum(r["messages"] for r in got) == 131_099
+
+
 def test_only_open_and_failed_messages_are_deletable(spark):
     placed = with_positions(messages(spark, [{"msg_id": i} for i in range(5)]))
     p = spark.createDataFrame([(1, i, "", "a", 1.0, i != 4) for i in range(5)], schemas.PLAN)
