@@ -163,7 +163,8 @@ def candidates(prints: DataFrame, theirs: DataFrame) -> DataFrame:
     # Copies of a passage have one fingerprint, which is looked up once.
     looked = prints.select("n_words", "p1", "p2").distinct().select("n_words", "p1", "p2", F.explode(block_values()).alias("b")).select("n_words", "p1", "p2", "b.*")
     entered = theirs.select("item", "n_words", F.col("p1").alias("i1"), F.col("p2").alias("i2"), F.explode(near_block_values()).alias("b")).select("item", "n_words", "i1", "i2", "b.*")
-    met = looked.join(entered, ["n_words", "block", "value"])
+    # Entries are thousands for each item, which the size that is estimated does not count: neither side may be broadcast by it.
+    met = looked.join(entered.hint("merge"), ["n_words", "block", "value"])
     return met.filter(distance("p1", "p2", "i1", "i2") <= RADIUS).select("n_words", "p1", "p2", "item").distinct()
 
 
